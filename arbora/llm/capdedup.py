@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from arbora.llm.ann import matrix, valid
-from arbora.llm.common import durable
+from arbora.llm.common import cells, durable, runs
 from arbora.llm.components import components
 
 #: Least cosine, parts of a code, independent tables, and the chance of missing a pair at that cosine (nearer ones are
@@ -105,10 +105,7 @@ def links(vectors: DataFrame, dims: int, rows: int) -> DataFrame:
     listed = durable(vectors.select("_id", "_u").mapInArrow(list_filters, "_id long, _h binary, _f array<long>"))
     flat = listed.select("_id", "_h", F.explode("_f").alias("_f"))
     large = listed.select(F.explode("_f").alias("_f")).groupBy("_f").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > 1)
-    large = large.select("_f", F.ceil(F.col("_n") / CELL).cast("int").alias("_parts"))
-    dealt = flat.join(large, "_f").withColumn("_p", F.pmod(F.xxhash64("_id"), F.col("_parts")).cast("int"))
-    # Part p of a filter meets every part: cell (i, j), i <= j, gets parts i and j.
-    cells = dealt.select("_f", "_id", "_h", "_p", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("_o")).select("_f", F.least("_p", "_o").alias("_i"), F.greatest("_p", "_o").alias("_j"), "_p", "_id", "_h")
+    dealt = cells(flat, "_f", large, CELL)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def pairs(group: pa.Table) -> np.ndarray:
@@ -128,28 +125,19 @@ def links(vectors: DataFrame, dims: int, rows: int) -> DataFrame:
             found = found[:, np.append(True, (np.diff(found, axis=1) != 0).any(axis=0))] if found.shape[1] else found
             return pa.RecordBatch.from_arrays([pa.array(found[0], pa.int64()), pa.array(found[1], pa.int64())], ["a", "b"])
 
-        held: pa.Table | None = None
         out: list[np.ndarray] = []
         size = 0
-        for b in batches:
-            t = pa.Table.from_batches([b])
-            held = t if held is None else pa.concat_tables([held, t])
-            key = [held.column(c).to_numpy() for c in ("_f", "_i", "_j")]
-            edge = np.flatnonzero(np.any([np.diff(c) != 0 for c in key], axis=0)) + 1
-            for s, e in zip([0, *edge[:-1]], edge):
-                if e - s > 1:
-                    out.append(pairs(held.slice(s, e - s)))
-                    size += out[-1].shape[1]
-                    if size > HELD:
-                        yield told(out)
-                        out, size = [], 0
-            held = held.slice(edge[-1]) if len(edge) else held
-        if held is not None and len(held) > 1:
-            out.append(pairs(held))
+        for group in runs(batches, ("_f", "_i", "_j")):
+            if len(group) > 1:
+                out.append(pairs(group))
+                size += out[-1].shape[1]
+                if size > HELD:
+                    yield told(out)
+                    out, size = [], 0
         if out:
             yield told(out)
 
-    near = cells.repartition("_f", "_i", "_j").sortWithinPartitions("_f", "_i", "_j").mapInArrow(compare, "a long, b long").distinct()
+    near = dealt.select("_f", "_i", "_j", "_p", "_id", "_h").mapInArrow(compare, "a long, b long").distinct()
     left = vectors.select(F.col("_id").alias("a"), F.col("_v").alias("va"))
     right = vectors.select(F.col("_id").alias("b"), F.col("_v").alias("vb"))
 

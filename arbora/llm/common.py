@@ -6,8 +6,11 @@ import atexit
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
 from pathlib import Path
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -59,3 +62,34 @@ def durable(df: DataFrame) -> DataFrame:
 def remainder(column, n: int):
     """crc32 of a number as text, modulo n: the folds that the queries fix."""
     return F.crc32(column.cast("string").cast("binary")) % n
+
+
+def runs(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[pa.Table]:
+    """Tables of rows with equal keys (whole numbers, not null) from batches that are sorted by them; holds one run and one batch."""
+    held: pa.Table | None = None
+    for b in batches:
+        if not len(b):
+            continue
+        t = pa.Table.from_batches([b])
+        held = t if held is None else pa.concat_tables([held, t])
+        edge = np.flatnonzero(np.any([np.diff(held.column(c).to_numpy()) != 0 for c in keys], axis=0)) + 1
+        for s, e in zip([0, *edge[:-1]], edge):
+            yield held.slice(s, e - s)
+        held = held.slice(edge[-1]) if len(edge) else held
+    if held is not None and len(held):
+        yield held
+
+
+def cells(rows: DataFrame, group: str, sizes: DataFrame, size: int) -> DataFrame:
+    """Deals each group's rows into parts of about `size`, and each part to the cells (_i, _j), _i <= _j, where it meets every part.
+
+    sizes: (group, _n). Adds _p, _i, _j. All cells of all groups are dealt evenly over the tasks (a cell has at most
+    two parts), so that a large group's cells don't meet in a few.
+    """
+    parts = sizes.select(group, F.ceil(F.col("_n") / size).cast("int").alias("_parts"))
+    dealt = rows.join(parts, group).withColumn("_p", F.pmod(F.xxhash64("_id"), F.col("_parts")).cast("int"))
+    met = dealt.select("*", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("_o"))
+    met = met.withColumns({"_i": F.least("_p", "_o"), "_j": F.greatest("_p", "_o")})
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    task = F.pmod(F.xxhash64(group) + F.col("_i") * F.col("_parts") - F.expr("_i * (_i - 1) div 2") + F.col("_j") - F.col("_i"), F.lit(n)).cast("int")
+    return met.withColumn("_task", task).repartitionById(n, "_task").drop("_o", "_parts", "_task").sortWithinPartitions(group, "_i", "_j")
