@@ -101,7 +101,7 @@ fn("contains")(lambda a, b, c=None: boolean(F.contains(collated(words(a), c), co
 fn("starts-with")(lambda a, b, c=None: boolean(F.startswith(collated(words(a), c), collated(words(b), c))))
 fn("ends-with")(lambda a, b, c=None: boolean(F.endswith(collated(words(a), c), collated(words(b), c))))
 fn("normalize-space")(lambda v: string(F.trim(F.regexp_replace(words(v), "[ \t\r\n]+", " "))))
-fn("translate")(lambda a, b, c: string(F.translate(words(a), words(b), words(c))))
+fn("translate")(lambda a, b, c: string(F.call_function("translate", words(a), words(b), words(c))))
 fn("substring-before")(lambda a, b: string(F.when((F.length(words(b)) > 0) & F.contains(words(a), words(b)), F.left(words(a), F.position(words(b), words(a)) - 1)).otherwise("")))
 fn("substring-after")(lambda a, b: string(F.when(F.contains(words(a), words(b)), F.substr(words(a), F.position(words(b), words(a)) + F.char_length(words(b)))).otherwise("")))
 fn("codepoint-equal")(lambda a, b: boolean(text(a) == text(b)))

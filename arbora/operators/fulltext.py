@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -59,8 +60,14 @@ def stemmed(s: pd.Series) -> pd.Series:
 def places(text: Column, phrase: Column) -> Column:
     """(s, e) of each place where the tokens of phrase stand in a row."""
     n = F.size(phrase)
-    at = F.when((n > 0) & (F.size(text) >= n), F.sequence(F.lit(1), F.greatest(F.size(text) - n + 1, F.lit(1)))).otherwise(F.array().cast("array<int>"))
-    return F.transform(F.filter(at, lambda i: F.slice(text, i, n) == phrase), lambda i: F.struct((i - 1).alias("s"), (i + n - 2).alias("e")))
+    first = F.get(phrase, 0)
+
+    def found(t: Column) -> Column:
+        at = F.filter(F.transform(t, lambda w, i: F.when(w == first, i)), lambda i: i.isNotNull())
+        whole = F.filter(at, lambda i: (n == 1) | (F.slice(t, i + 1, n) == phrase))
+        return F.transform(whole, lambda i: F.struct(i.alias("s"), (i + n - 1).alias("e")))
+
+    return F.get(F.transform(F.array(text), found), 0)  # the tokens are made once
 
 
 def contains(text: Column, selection, compile: Callable[[object], V]) -> Column:
@@ -84,8 +91,21 @@ def contains(text: Column, selection, compile: Callable[[object], V]) -> Column:
             return F.exists(inner, lambda p: ~F.exists(outer, lambda q: (q.s <= p.s) & (q.e >= p.e)))
         if kind == "ftfilter":
             return filtered(node)
+        if not node[3].get("wildcards"):
+            return plain(node)
         return F.size(matches(node)) > 0
 
+    def plain(node) -> Column:
+        """Whether words or phrases stand in the text: they are searched in its tokens joined by blanks."""
+        each, own, split = phrases(node)
+        joined = F.concat(F.lit(" "), F.array_join(own, " "), F.lit(" "))
+        if split:
+            every = F.flatten(F.array(*each))
+            test = lambda t: F.contains(joined, F.concat(F.lit(" "), t, F.lit(" ")))
+            return F.forall(every, test) if node[2].startswith("all") else F.exists(every, test)
+        hits = [F.contains(joined, F.concat(F.lit(" "), F.array_join(p, " "), F.lit(" "))) & (F.size(p) > 0) for p in each]
+        return reduce(lambda a, b: a & b if node[2].startswith("all") else a | b, hits)
+
     def phrases(node) -> tuple[list[Column], Column, bool]:
         _, what, mode, options = node
         items = [compile(x) for x in (what[1] if what[0] == "sequence" else [what])]

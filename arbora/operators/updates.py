@@ -85,27 +85,28 @@ def apply(nodes: DataFrame, edits: DataFrame) -> DataFrame:
         if not len(right):
             return left.select(ARROW.names)
         root, by, above = trees(rows)
-        for e in sorted(right.to_pylist(), key=lambda e: (e["rank"], e["target"])):
-            t, action = by[e["target"]], e["action"]
+        for e in sorted(right.to_pylist(), key=lambda e: (e["e_rank"], e["e_target"])):
+            t, action, content = by[e["e_target"]], e["e_action"], e["e_content"]
             if action == "insert-into":
-                t.children += parsed(e["content"])
+                t.children += parsed(content)
             elif action == "insert-first":
-                t.children[:0] = parsed(e["content"])
+                t.children[:0] = parsed(content)
             elif action == "rename":
-                t.row["prefix"], _, t.row["local"] = e["name"].rpartition(":")
+                t.row["prefix"], _, t.row["local"] = e["e_name"].rpartition(":")
             elif action == "replace-value":
                 if t.row["kind"] == "element":
-                    t.children = [Tree({"kind": "text", "value": e["content"] or ""})] if e["content"] else []
+                    t.children = [Tree({"kind": "text", "value": content or ""})] if content else []
                 else:
-                    t.row["value"] = e["content"] or ""
+                    t.row["value"] = content or ""
             else:
-                up = above[e["target"]]
+                up = above[e["e_target"]]
                 own = up.attributes if t.row["kind"] == "attribute" else up.children
                 if t not in own:  # replaced or deleted by an edit before
                     continue
                 k = own.index(t)
-                new = parsed(e["content"]) if action != "delete" else []
+                new = parsed(content) if action != "delete" else []
                 own[k + (action == "insert-after") : k + (action != "insert-before")] = new
         return pa.Table.from_batches([Builder.batch([(rows[0]["doc_id"], *r) for r in rebuild(root).rows])])
 
-    return nodes.groupBy("doc_id").cogroup(edits.groupBy("doc_id")).applyInArrow(work, SCHEMA)
+    own = edits.select(F.col("doc_id").alias("e_doc"), *[F.col(c).alias(f"e_{c}") for c in ("target", "action", "name", "content", "rank")])
+    return nodes.groupBy("doc_id").cogroup(own.groupBy("e_doc")).applyInArrow(work, SCHEMA)

@@ -220,7 +220,7 @@ class Compiler:
         """Rows of an expression over a collection whose filters may look at the stream; those conditions apart."""
         if node[0] == "lookup":
             node = ("map", node[1], ("lookup", ("context",), node[2]))
-        if node[0] == "filter" and self.mentions(node[2], env):
+        if node[0] == "filter" and self.depends(node[2], env):
             rows, cond = self.correlated(node[1], env)
             test = ebv(self.expr(node[2], {**env, ".": rows.item}))
             return rows, test if cond is None else cond & test
@@ -891,14 +891,14 @@ class Compiler:
         return V(F.coalesce(F.col(own), F.lit(0)) if name == "count" else F.coalesce(F.col(own), F.lit(0).cast(SPARK[kind])) if name == "sum" else F.col(own), kind)
 
     def depends(self, node, env) -> bool:
-        if node[0] == "var" and isinstance(env.get(node[1]), tuple):
+        if node[0] == "var" and len(node) == 2 and isinstance(env.get(node[1]), tuple):
             return self.depends(env[node[1]][1], env)
-        return self.mentions(node, env)
+        return self.mentions(node, env) or any(self.depends(x, env) for x in node if isinstance(x, tuple) and x and isinstance(x[0], str))
 
     def equalities(self, node, env, rows: Rows) -> list[tuple[Column, Column]] | None:
         """(row's side, collection's side) of the equalities that tie a collection's filter to the row."""
         if node[0] == "var":
-            return self.equalities(env[node[1]][1], env, rows)
+            return self.equalities(env[node[1]][1], env[node[1]][2] | {k: v for k, v in env.items() if isinstance(v, V)}, rows)
         if node[0] in ("map", "lookup"):
             return self.equalities(node[1], env, rows)
         if node[0] == "flwor":
