@@ -13,6 +13,7 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from arbora.functions.values import V, one, words
 from arbora.plans.parser import QueryError
@@ -52,7 +53,7 @@ def stem(word: str) -> str:
     return word
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def stemmed(s: pd.Series) -> pd.Series:
     return s.map(lambda ws: None if ws is None else [stem(w) for w in ws])
 
