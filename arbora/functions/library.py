@@ -685,7 +685,7 @@ fn("resolve-uri")(lambda r, b: string(F.udf(lambda x, y: None if x is None else
 fn("environment-variable")(lambda v: string(F.lit(None).cast("string")))
 fn("available-environment-variables")(lambda: V(F.array().cast("array<string>"), "string", many=True))
 fn("static-base-uri")(lambda: V(F.lit(None).cast("string"), "anyURI"))
-fn("error")(lambda c=None, d=None, *o: V(F.raise_error(F.concat(F.lit("["), words(c) if c and c.col is not None else F.lit("FOER0000"), F.lit("] "), words(d) if d else F.lit(""))).cast("string"), "string"))
+fn("error")(lambda c=None, d=None, *o: V(F.raise_error(F.concat(F.lit("["), F.coalesce(F.nullif(words(c), F.lit("")), F.lit("FOER0000")) if c and c.col is not None else F.lit("FOER0000"), F.lit("] "), words(d) if d else F.lit(""))).cast("string"), "string"))
 fn("data")(lambda v: V(v.col, v.member, many=True) if v.type == "array" else v)
 fn("QName")(lambda u, n: V(F.struct(words(u).alias("uri"), F.element_at(F.split(words(n), ":"), -1).alias("local"), F.when(F.contains(words(n), F.lit(":")), F.split_part(words(n), F.lit(":"), F.lit(1))).otherwise("").alias("prefix")), "QName"))
 fn("local-name-from-QName")(lambda q: string(q.col.local))

@@ -213,7 +213,9 @@ class Compiler:
             return Rows(df.limit(1), rows.item, rows.order)
         if predicate[0] == "value" and predicate[2] == ("call", "position", []) and predicate[1] in ("le", "lt") and predicate[3][0] == "literal":
             return Rows(rows.df.limit(predicate[3][1] - (predicate[1] == "lt")), rows.item, rows.order)
-        test = ebv(self.on(rows, predicate, env))
+        outer, self.stream = self.stream, Stream(rows.df, dict(env))
+        test = self.test(predicate, {**env, ".": rows.item})
+        rows.df, self.stream = self.stream.df, outer
         return Rows(rows.df.where(test), rows.item, rows.order)
 
     def correlated(self, node, env) -> tuple[Rows, Column | None]:
@@ -222,7 +224,7 @@ class Compiler:
             node = ("map", node[1], ("lookup", ("context",), node[2]))
         if node[0] == "filter" and self.depends(node[2], env):
             rows, cond = self.correlated(node[1], env)
-            test = ebv(self.expr(node[2], {**env, ".": rows.item}))
+            test = self.test(node[2], {**env, ".": rows.item})
             return rows, test if cond is None else cond & test
         if node[0] == "var":
             return self.correlated(env[node[1]][1], env[node[1]][2] | {k: v for k, v in env.items() if isinstance(v, V)})
@@ -233,7 +235,7 @@ class Compiler:
             rows, cond = self.correlated(node[1][0][2], env)
             inner = {**env, node[1][0][1]: rows.item}
             for c in node[1][1:]:
-                test = ebv(self.expr(c[1], inner))
+                test = self.test(c[1], inner)
                 cond = test if cond is None else cond & test
             return Rows(rows.df, self.expr(node[2], inner)), cond
         return self.rows(node, {**env, "#inner": True}), None
@@ -305,6 +307,19 @@ class Compiler:
             s.env[at] = V(F.col(number_).cast("bigint") + 1, "integer")
         s.order = [*s.order, F.col(number_)]
 
+    def test(self, node, env) -> Column:
+        """A condition for a filter or a join, where null counts as false: bare comparisons, which Spark can push down and join by."""
+        if node[:2] in (("binary", "and"), ("binary", "or")):
+            a, b = self.test(node[2], env), self.test(node[3], env)
+            return a & b if node[1] == "and" else a | b
+        if node[0] in ("value", "general"):
+            a, b = self.expr(node[2], env), self.expr(node[3], env)
+            if not a.many and not b.many:
+                return self.compared(node[1], a, b)
+            return ebv(self.expr(node, env))
+        v = self.expr(node, env)
+        return v.col if v.type == "boolean" and not v.many else ebv(v)
+
     def clause_let(self, c, s: Stream) -> None:
         _, name, source = c
         if self.table(source, s.env):
@@ -322,11 +337,11 @@ class Compiler:
                     rows, cond = self.correlated(source, s.env)
                 else:
                     rows, cond = self.correlated(source, s.env)
-                    more = ebv(self.expr(test[1], {**s.env, test[0]: rows.item}))
+                    more = self.test(test[1], {**s.env, test[0]: rows.item})
                     cond = more if cond is None else cond & more
                 s.df = s.df.join(rows.df, cond if cond is not None else F.lit(True), "left_anti" if anti else "left_semi")
             else:
-                test = ebv(self.expr(part, s.env))
+                test = self.test(part, s.env)
                 s.apply(lambda df, test=test: df.where(test))
 
     def conjuncts(self, node) -> list:
