@@ -17,11 +17,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from arbora.llm.components import components
-from arbora.llm.common import durable
+from arbora.llm.common import cells, durable, runs
 
 #: Words of a shingle, least similarity, bands and rows: a pair at 0.8 shares no band with probability 3e-6.
 WORDS, LEAST, BANDS, ROWS = 5, 0.8, 24, 4
 REGISTERS, AT_ONCE = BANDS * ROWS, 300_000
+#: Members of a group that meet in one cell come from two parts of about this size.
+CELL = 128
 
 
 class Hashes(dict):
@@ -149,6 +151,58 @@ def verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "na", "sb", "nb").mapInArrow(work, "a long, b long")
 
 
+def across(dealt: DataFrame, least: float) -> DataFrame:
+    """(a, b): links between members of different classes, from cells (_centre, _i, _j) of (_id, _class, _p, _set, _n).
+
+    Each cell tells of as many links as connect what its links connect, at most one for each member.
+    """
+
+    def links(cell: pa.Table) -> list[tuple[int, int]]:
+        i, j = cell.column("_i")[0].as_py(), cell.column("_j")[0].as_py()
+        ids, kind, part = (cell.column(c).to_numpy() for c in ("_id", "_class", "_p"))
+        sets = [np.frombuffer(x.as_py(), np.uint64) for x in cell.column("_set")]
+        counts = [np.frombuffer(x.as_py(), np.int32) for x in cell.column("_n")]
+        size = np.array([len(x) for x in sets])
+        plain = np.array([x.max(initial=1) == 1 for x in counts])
+        # Shared shingles of all members: a product of presence matrices over shingles that two members have.
+        every, back, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        column = np.cumsum(times > 1) - 1
+        own = np.repeat(np.arange(len(sets)), size)
+        keep = times[back] > 1
+        here = np.zeros((len(sets), int((times > 1).sum())), np.float32)
+        here[own[keep], column[back[keep]]] = 1
+        left, right = (np.flatnonzero(part == i), np.flatnonzero(part == j))
+        both = here[left] @ here[right].T
+        differ = kind[left][:, None] != kind[right][None]
+        if i == j:
+            differ &= ids[left][:, None] < ids[right][None]
+        exact = plain[left][:, None] & plain[right][None]
+        near = both >= (least - 1e-9) * (size[left][:, None] + size[right][None] - both)
+        up = {int(k): int(k) for k in kind}
+
+        def top(k: int) -> int:
+            while up[k] != k:
+                k = up[k]
+            return k
+
+        out = []
+        for x, y in zip(*np.nonzero(differ & ((exact & near) | (~exact & (both > 0))))):
+            a, b = left[x], right[y]
+            s, t = top(int(kind[a])), top(int(kind[b]))
+            if s != t and (exact[x, y] or similarity(sets[a], counts[a], sets[b], counts[b]) >= least - 1e-9):
+                up[max(s, t)] = min(s, t)
+                out.append((int(min(ids[a], ids[b])), int(max(ids[a], ids[b]))))
+        return out
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for cell in runs(batches, ("_centre", "_i", "_j")):
+            got = links(cell)
+            if got:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*got)], ["a", "b"])
+
+    return dealt.select("_centre", "_i", "_j", "_p", "_id", "_class", "_set", "_n").mapInArrow(work, "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", least: float = LEAST) -> DataFrame:
     """id, class_id (least id of its class), n_copies (rows with the same words) and kept (id = class_id) of every row.
 
@@ -157,34 +211,30 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     or without id links with nothing and is kept. Ids are whole numbers; rows that share an id share a class, and all
     of them are returned. Other columns are left out, whatever their names; an empty table gives an empty one.
 
-    Texts that share a band are first compared with the band's least id; while bands hold several classes, their
-    members are then compared with the least id of each other class there, until nothing merges. So no bucket's pairs
-    are all formed, and a text that stands alone is compared with every class of its bands.
+    Texts that share a band are first compared with the band's centre (the text whose bands are fullest: copies of one
+    original all share most with it), which joins nearly all of a group at a cost in proportion to it. Where a centre's
+    bands then still hold several classes, all their members are compared across classes, in cells of bounded size that
+    tell of links only; no pairs are formed in Spark.
     """
     rows = docs.select(F.col(id_column).cast("long").alias("_id"), F.col(text_column).alias("_text"))
     drawn = durable(sketch(rows))
     live = drawn.where("_id is not null and _digest is not null")
     texts = live.groupBy("_digest").agg(F.min("_id").alias("_rep"), F.count(F.lit(1)).alias("_copies"))
     reps = durable(live.join(texts, "_digest").where("_id = _rep").dropDuplicates(["_digest"]).select("_id", F.explode("_keys").alias("_key")))
-    shared = reps.groupBy("_key").agg(F.min("_id").alias("_first"), F.max("_id").alias("_last")).where("_first < _last")
-    buckets = durable(reps.join(shared.select("_key", "_first"), "_key"))
-    pairs = durable(buckets.where("_id <> _first").select(F.col("_first").alias("a"), F.col("_id").alias("b")).distinct())
-    wanted = buckets.select("_id").distinct()
-    sets = durable(features(rows.join(wanted, "_id", "left_semi")))
+    shared = reps.groupBy("_key").agg(F.count(F.lit(1)).alias("_m")).where("_m > 1")
+    buckets = durable(reps.join(shared, "_key"))
+    central = buckets.groupBy("_id").agg(F.sum("_m").alias("_full"))
+    centres = buckets.join(central, "_id").groupBy("_key").agg(F.max_by("_id", F.struct("_full", -F.col("_id"))).alias("_centre"))
+    around = durable(buckets.join(centres, "_key").select("_centre", "_id").distinct())
+    pairs = around.where("_id <> _centre").select(F.least("_id", "_centre").alias("a"), F.greatest("_id", "_centre").alias("b")).distinct()
+    sets = durable(features(rows.join(around.select("_id").distinct(), "_id", "left_semi")))
     links = durable(verified(pairs, sets, least))
-    done = pairs
-    while True:
-        roots = durable(components(links))
-        known = buckets.join(roots.withColumnRenamed("node", "_id"), "_id", "left").select("_key", "_id", F.coalesce("root", "_id").alias("_class"))
-        classes = known.groupBy("_key", "_class").agg(F.min("_id").alias("_lead"))
-        several = classes.groupBy("_key").agg(F.min("_class").alias("x"), F.max("_class").alias("y")).where("x < y").select("_key")
-        leads = classes.join(several, "_key").withColumnRenamed("_class", "_other")
-        more = known.join(leads, "_key").where("_class <> _other").select(F.least("_id", "_lead").alias("a"), F.greatest("_id", "_lead").alias("b")).distinct()
-        more = durable(more.join(done, ["a", "b"], "left_anti"))
-        found = durable(verified(more, sets, least))
-        if not found.limit(1).count():
-            break
-        done, links = done.union(more), links.union(found)
+    roots = durable(components(links))
+    classed = around.join(roots.withColumnRenamed("node", "_id"), "_id", "left").select("_centre", "_id", F.coalesce("root", "_id").alias("_class"))
+    several = classed.groupBy("_centre").agg(F.count(F.lit(1)).alias("_n"), F.min("_class").alias("_x"), F.max("_class").alias("_y")).where("_x < _y").select("_centre", "_n")
+    members = classed.join(several.select("_centre"), "_centre").join(sets, "_id")
+    found = across(cells(members, "_centre", several, CELL), least)
+    roots = durable(components(links.union(durable(found))))
     out = drawn.select("_id", "_digest").join(texts, "_digest", "left").join(roots.select(F.col("node").alias("_rep"), "root"), "_rep", "left")
     kind = F.coalesce("root", "_rep", "_id")
     return out.select(F.col("_id").alias(id_column), kind.alias("class_id"), F.coalesce("_copies", F.lit(1)).cast("long").alias("n_copies"), F.coalesce(F.col("_id") == kind, F.lit(True)).alias("kept"))
