@@ -148,7 +148,8 @@ def verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
 
     left = sets.select(F.col("_id").alias("a"), F.col("_set").alias("sa"), F.col("_n").alias("na"))
     right = sets.select(F.col("_id").alias("b"), F.col("_set").alias("sb"), F.col("_n").alias("nb"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "na", "sb", "nb").mapInArrow(work, "a long, b long")
+    # The same plan at every size: both sides meet by a shuffle on ids, whichever would fit into a broadcast.
+    return pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b").select("a", "b", "sa", "na", "sb", "nb").mapInArrow(work, "a long, b long")
 
 
 def across(dealt: DataFrame, least: float) -> DataFrame:
@@ -227,7 +228,7 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     centres = buckets.join(central, "_id").groupBy("_key").agg(F.max_by("_id", F.struct("_full", -F.col("_id"))).alias("_centre"))
     around = durable(buckets.join(centres, "_key").select("_centre", "_id").distinct())
     pairs = around.where("_id <> _centre").select(F.least("_id", "_centre").alias("a"), F.greatest("_id", "_centre").alias("b")).distinct()
-    sets = durable(features(rows.join(around.select("_id").distinct(), "_id", "left_semi")))
+    sets = durable(features(rows.hint("merge").join(around.select("_id").distinct(), "_id", "left_semi")))
     links = durable(verified(pairs, sets, least))
     roots = durable(components(links))
     classed = around.join(roots.withColumnRenamed("node", "_id"), "_id", "left").select("_centre", "_id", F.coalesce("root", "_id").alias("_class"))
