@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from arbora.plans.compiler import Compiler
 from arbora.plans.parser import QueryError
+from arbora.sources import readers
 
 
 def ship(spark: SparkSession) -> None:
@@ -23,12 +24,22 @@ class Engine:
 
     def __init__(self, spark: SparkSession, base: str | None = None):
         ship(spark)
-        self.spark, self.base, self.tables = spark, base, {}
+        self.spark, self.base, self.tables, self.documents = spark, base, {}, {}
 
     def register(self, name: str, df: DataFrame) -> Engine:
         self.tables[name] = df
         return self
 
+    def register_documents(self, name: str, df: DataFrame, id_column: str, text_column: str, method: str = "xml", failing: str = "raise") -> Engine:
+        """Makes a column of XML or HTML texts the documents that doc(name) gives."""
+        self.documents[name] = readers.documents(df, id_column, text_column, method, failing)
+        return self
+
+    def nodes(self, name: str) -> DataFrame:
+        if name not in self.documents:
+            raise QueryError("FODC0002", f"no documents {name}")
+        return self.documents[name]
+
     def collection(self, name: str) -> DataFrame:
         if name in self.tables:
             return self.tables[name]
@@ -39,4 +50,4 @@ class Engine:
         raise QueryError("FODC0002", f"no collection {name}")
 
     def query(self, text: str, **variables: object) -> DataFrame:
-        return Compiler(self.spark, self.collection, variables).query(text)
+        return Compiler(self.spark, self.collection, variables, self.nodes).query(text)

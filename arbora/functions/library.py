@@ -493,6 +493,38 @@ fn("apply")(lambda f, a: f.call(*[V(F.get(a.col, i), a.member) for i in range(f.
 fn("function-arity")(lambda f: V(F.lit(f.arity), "integer", literal=f.arity))
 fn("function-name")(lambda f: V(F.lit(f.name), "string", literal=f.name))
 
+# nodes: a row's columns tell all that these ask for -----------------------------------------------------------------
+def node(v: V, field: str) -> Column:
+    if v.type != "node":
+        raise QueryError("XPTY0004", "a node is expected")
+    return v.fields[field].col
+
+
+def node_name(v: V) -> Column:
+    return F.when(F.coalesce(F.length(node(v, "prefix")), F.lit(0)) > 0, F.concat(node(v, "prefix"), F.lit(":"), node(v, "local"))).otherwise(F.coalesce(node(v, "local"), F.lit("")))
+
+
+fn("name", "node-name")(lambda v: string(node_name(v)))
+fn("local-name")(lambda v: string(F.coalesce(node(v, "local"), F.lit(""))))
+fn("namespace-uri")(lambda v: V(F.coalesce(node(v, "ns"), F.lit("")), "anyURI"))
+fn("generate-id")(lambda v: string(F.concat(F.lit("d"), node(v, "doc_id"), F.lit("n"), node(v, "pre"))))
+fn("has-children")(lambda v: boolean(node(v, "size") > 0))
+fn("root")(lambda v: V(F.concat(F.lit("d"), node(v, "doc_id"), F.lit("n0")), "string"))
+fn("document-uri")(lambda v: V(node(v, "doc_id").cast("string"), "anyURI"))
+fn("base-uri")(lambda v: V(node(v, "doc_id").cast("string"), "anyURI"))
+fn("nilled")(lambda v: boolean(F.when(node(v, "kind") == "element", F.lit(False))))
+
+# times are strings of hours, minutes and seconds ---------------------------------------------------------------------
+fn("current-time")(lambda: string(F.date_format(F.current_timestamp(), "HH:mm:ss")))
+fn("hours-from-time")(lambda v: integer(F.split_part(text(v), F.lit(":"), F.lit(1))))
+fn("minutes-from-time")(lambda v: integer(F.split_part(text(v), F.lit(":"), F.lit(2))))
+fn("seconds-from-time")(lambda v: V(F.split_part(text(v), F.lit(":"), F.lit(3)).cast("decimal(38,18)"), "decimal"))
+fn("timezone-from-time")(lambda v: V(F.lit(None).cast(SPARK["dayTimeDuration"]), "dayTimeDuration"))
+fn("type")(lambda v: V(F.struct(F.lit("sequence" if v.many else "item").alias("kind"), F.lit(v.type).alias("name")), "record", fields={"kind": V(F.lit("sequence" if v.many else "item"), "string"), "name": V(F.lit(v.type), "string")}))
+fn("random-number-generator")(lambda seed=None: V(F.struct(F.rand(int(seed.literal) if seed else 0).alias("number")), "record", fields={"number": V(F.rand(int(seed.literal) if seed else 0), "double")}))
+fn("adjust-dateTime-to-timezone")(lambda v, tz=None: v if tz is None or tz.many else V(one(v) + one(tz), v.type))
+fn("map:find")(lambda m, k: V(F.filter(F.array(F.try_element_at(m.col, one(k))), lambda x: x.isNotNull()) if m.type == "map" else F.array(m.fields[k.literal].col) if k.literal in m.fields else F.array().cast("array<string>"), "array", member=m.member))
+
 # maps and arrays ----------------------------------------------------------------------------------------------
 fn("map:size")(lambda m: integer(F.lit(len(m.fields)) if m.type == "record" else F.size(m.col)))
 fn("map:keys")(lambda m: V(F.array(*map(F.lit, m.fields)) if m.type == "record" else F.map_keys(m.col), "string", many=True))

@@ -105,6 +105,8 @@ def ebv(v: V) -> Column:
 
 def text(v: V) -> Column:
     """xs:string of an item, by the language's lexical rules."""
+    if v.type == "node":
+        return v.fields["string_value"].col
     c = one(v)
     if v.type == "double" or v.type == "float":
         whole = (F.abs(c) < 1e6) & (c == F.floor(c))

@@ -63,7 +63,7 @@ class Paths:
 
     def run(self, node, context: DataFrame, root: bool = False) -> DataFrame:
         """Rows (*COLUMNS, o): o is the context node that a row was reached from."""
-        if node[0] == "root":
+        if node[0] in ("root", "call"):
             return self.nodes.where("pre = 0").join(context.select("doc_id", "o").distinct(), "doc_id") if not root else context
         if node[0] == "context":
             return context

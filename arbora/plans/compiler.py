@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from arbora.functions.library import LIBRARY, cast
 from arbora.functions.values import NUMERIC, SPARK, V, ebv, from_type, literal, number, one, seq, text, wider, words
 from arbora.operators import fulltext, windows
+from arbora.operators.paths import COLUMNS, Paths
 from arbora.plans.parser import QueryError, parse
 
 AGGREGATES = ("count", "sum", "avg", "min", "max", "string-join", "distinct-values")
@@ -43,6 +44,8 @@ class Stream:
     sums: dict[str, Column] = field(default_factory=dict)
     later: list[Callable[[DataFrame], DataFrame]] = field(default_factory=list)
     order: list[Column] = field(default_factory=list)
+    sorted: bool = False
+    joined: bool = False  # since it was sorted: a join needn't keep the order
 
     def apply(self, f: Callable[[DataFrame], DataFrame]) -> None:
         if self.keys is None:
@@ -62,7 +65,8 @@ class Stream:
 
 
 class Compiler:
-    def __init__(self, spark: SparkSession, collections: Callable[[str], DataFrame], variables: dict[str, object] | None = None):
+    def __init__(self, spark: SparkSession, collections: Callable[[str], DataFrame], variables: dict[str, object] | None = None, documents: Callable[[str], DataFrame] | None = None):
+        self.documents, self.origins = documents, {}
         self.spark, self.collections, self.external, self.functions, self.number = spark, collections, variables or {}, {}, 0
         self.stream: Stream | None = None
 
@@ -101,6 +105,8 @@ class Compiler:
         v = rows.item
         if v.type == "record" and not v.many and v.fields is not None:
             return rows.df.select(*[(x.col if x.col is not None else F.lit(None)).alias(k) for k, x in v.fields.items()])
+        if v.type == "node":
+            v = V(text(v), "string")
         c = v.col if v.col is not None else F.lit(None).cast("string")
         return rows.df.select((F.explode(c) if v.many else c).alias("item")) if v.many else rows.df.where(c.isNotNull()).select(c.alias("item"))
 
@@ -110,12 +116,12 @@ class Compiler:
         kind = node[0]
         if kind == "call":
             name = node[1].removeprefix("fn:")
-            if name == "collection":
+            if name in ("collection", "doc"):
                 return True
             return name in ("subsequence", "head", "distinct-values", "reverse", "sort", "filter", "unordered", "for-each", "highest", "lowest") and bool(node[2]) and self.table(node[2][0], env)
         if kind == "flwor":
             return any(c[0] in ("for", "window") and self.table(c[2] if c[0] == "for" else c[3], env) for c in node[1])
-        if kind in ("filter", "map", "lookup"):
+        if kind in ("filter", "map", "lookup", "step"):
             return self.table(node[1], env)
         if kind == "binary" and node[1] in ("union", "|", "intersect", "except", "otherwise"):
             return self.table(node[2], env)
@@ -142,6 +148,10 @@ class Compiler:
             return Rows(df, v)
         if kind == "var":
             return self.rows(env[node[1]][1], env[node[1]][2])
+        if kind == "step":
+            name = self.start(node)
+            nodes = self.documents(name)
+            return self.node_rows(Paths(nodes).run(node, nodes.where("pre = 0").select(*COLUMNS).withColumn("o", F.lit(0).cast("long")), root=True).dropDuplicates(["doc_id", "pre"]), name)
         if kind == "filter":
             return self.filtered(self.rows(node[1], env), node[2], env)
         if kind == "lookup":
@@ -164,6 +174,8 @@ class Compiler:
         name, args = node[1].removeprefix("fn:"), node[2]
         if name == "collection":
             return self.collection(str(args[0][1]))
+        if name == "doc":
+            return self.node_rows(self.documents(str(args[0][1])).where("pre = 0"), str(args[0][1]))
         rows = self.rows(args[0], env)
         if name == "unordered":
             return Rows(rows.df, rows.item)
@@ -192,6 +204,35 @@ class Compiler:
             raise QueryError("XPTY0004", "reverse a sorted collection by its order by")
         raise QueryError("XPST0017", f"unknown function {name}")
 
+    def start(self, node) -> str | None:
+        """The name of the documents that a path starts from, or the variable that it does, as $name."""
+        while node[0] == "step":
+            node = node[1]
+        if node[0] == "call" and node[1].removeprefix("fn:") == "doc":
+            return str(node[2][0][1])
+        return f"${node[1]}" if node[0] == "var" else None
+
+    def node_rows(self, df: DataFrame, documents: str) -> Rows:
+        """Nodes as items: their columns are fields, and in document order they are sorted by."""
+        names = {c: self.fresh(c) for c in COLUMNS}
+        types = {"doc_id": "integer", "pre": "integer", "size": "integer", "level": "integer", "parent": "integer"}
+        item = V(F.col(names["string_value"]), "node", fields={c: V(F.col(n), types.get(c, "string")) for c, n in names.items()}, member=documents)
+        return Rows(df.select(*[F.col(c).alias(n) for c, n in names.items()]), item, [F.col(names["doc_id"]), F.col(names["pre"])])
+
+    def stepped(self, node, env) -> tuple[DataFrame, V]:
+        """Rows (*COLUMNS, o) of a path from a node variable; o is the node it started from."""
+        own = env[self.start(node)[1:]]
+        if not (isinstance(own, V) and own.type == "node"):
+            raise QueryError("XPTY0019", f"{self.start(node)} is no node")
+        self.stream.flush()
+        nodes = self.documents(own.member)
+        context = self.stream.df.select(*[own.fields[c].col.alias(c) for c in COLUMNS]).dropDuplicates(["doc_id", "pre"]).withColumn("o", F.col("pre"))
+
+        def rooted(n):
+            return ("step", rooted(n[1]), *n[2:]) if n[0] == "step" else ("context",)
+
+        return Paths(nodes).run(rooted(node), context), own
+
     def reread(self, df: DataFrame) -> Rows:
         names = {f.name: self.fresh(f.name) for f in df.schema.fields}
         df2 = df.select(*[F.col(f"`{k}`").alias(v) for k, v in names.items()])
@@ -259,6 +300,8 @@ class Compiler:
         item = self.expr(body, s.env)
         keep = s.order
         s.flush()
+        if s.sorted and s.joined:
+            s.df = s.df.orderBy(*s.order)
         out = Rows(s.df, item, keep)
         self.stream = outer
         if item.many:
@@ -280,6 +323,19 @@ class Compiler:
     def clause_for(self, c, s: Stream) -> None:
         _, name, source, at, empty, member = c
         s.flush()
+        if source[0] == "step" and (self.start(source) or "").startswith("$"):
+            found, own = self.stepped(source, s.env)
+            origin = self.fresh("o")
+            rows = self.node_rows(found.withColumnRenamed("o", origin), own.member)
+            df = found.select(*[F.col(c).alias(n) for c, n in zip(COLUMNS, rows.df.columns)], F.col("o").alias(origin))
+            on = (own.fields["doc_id"].col == rows.item.fields["doc_id"].col) & (own.fields["pre"].col == F.col(origin))
+            s.df = s.df.join(df, on, "left" if empty else "inner").drop(origin)
+            s.env[name] = rows.item
+            if at:
+                number_ = self.fresh(at)
+                s.df = s.df.withColumn(number_, F.row_number().over(Window.partitionBy(own.fields["doc_id"].col, own.fields["pre"].col).orderBy(rows.item.fields["pre"].col)).cast("bigint"))
+                s.env[at] = V(F.col(number_), "integer")
+            return
         if self.table(source, s.env):
             if s.df is None:
                 rows = self.rows(source, s.env)
@@ -374,6 +430,7 @@ class Compiler:
         s.env = {k: replace(v, grouped=True) if isinstance(v, V) and v.call is None and v.literal is None else v for k, v in s.env.items()}
         for name, v, own in keys:
             s.env[name] = replace(v.of(F.col(own), many=False), fields=None)
+        s.sorted = False
         s.keys, s.order = [(own, F.col(own)) for _, _, own in keys], []
 
     def sort_keys(self, keys) -> list[Column]:
@@ -386,7 +443,7 @@ class Compiler:
     def clause_order(self, c, s: Stream) -> None:
         order = self.sort_keys([(self.expr(k, s.env), down, greatest) for k, down, greatest in c[1]])
         s.apply(lambda df: df.orderBy(*order))
-        s.order = order
+        s.order, s.sorted, s.joined = order, True, False
 
     def clause_count(self, c, s: Stream) -> None:
         own = self.fresh(c[1])
@@ -808,9 +865,22 @@ class Compiler:
         raise QueryError("XPST0003", f"{c[0]} in an expression over one row")
 
     def e_step(self, node, env) -> V:
-        raise QueryError("XPST0003", "paths over documents are planned by arbora.operators.paths")
+        """A path from a node variable, as the sequence of its nodes' string values, joined to the stream."""
+        if not (self.start(node) or "").startswith("$"):
+            raise QueryError("XPST0003", "a path starts from doc() or a node variable")
+        found, own = self.stepped(node, env)
+        name, d, o = self.fresh("path"), self.fresh("d"), self.fresh("o")
+        values = found.groupBy(F.col("doc_id").alias(d), F.col("o").alias(o)).agg(F.transform(F.array_sort(F.collect_list(F.struct("pre", "string_value"))), lambda e: e.string_value).alias(name))
+        self.stream.joined = True
+        self.stream.df = self.stream.df.join(values, (own.fields["doc_id"].col == F.col(d)) & (own.fields["pre"].col == F.col(o)), "left").drop(d, o)
+        return V(F.coalesce(F.col(name), F.array().cast("array<string>")), "untypedAtomic", many=True)
+
+    def e_node(self, node, env) -> V:
+        a, b = self.expr(node[2], env), self.expr(node[3], env)
+        x, y = (F.struct(v.fields["doc_id"].col.alias("d"), v.fields["pre"].col.alias("p")) for v in (a, b))
+        return V({"is": x == y, "<<": x < y, ">>": x > y}[node[1]], "boolean")
 
-    e_root = e_node = e_step
+    e_root = e_step
 
     def apply(self, name: str, args: list[V], env) -> V:
         own = self.functions.get((name.removeprefix("local:"), len(args)))
@@ -889,6 +959,7 @@ class Compiler:
             rows = self.rows(source, {**env, "#inner": True})
             c, kind = (F.count_distinct(rows.item.col), "integer") if distinct else self.aggregated(name, rows.item, args, env)
             own = self.fresh("agg")
+            s.joined = True
             s.df = s.df.crossJoin(rows.df.agg(c.alias(own)))
             return V(F.col(own), kind)
         rows, cond = self.correlated(source, env)
@@ -902,6 +973,7 @@ class Compiler:
         test = F.lit(True)
         for (a, _), k in zip(pairs, keys):
             test = test & (a == F.col(k))
+        s.joined = True
         s.df = s.df.join(inner, test, "left")
         return V(F.coalesce(F.col(own), F.lit(0)) if name == "count" else F.coalesce(F.col(own), F.lit(0).cast(SPARK[kind])) if name == "sum" else F.col(own), kind)
 
