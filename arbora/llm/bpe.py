@@ -107,6 +107,8 @@ def classes(letters: str = r"\p{L}", digits: str = r"\p{N}", spaces: str = r"\s"
 
 def pieces(texts: list[str], kinds: np.ndarray) -> list[list[str]]:
     """The pre-tokens of each text."""
+    if not texts:
+        return []
     joined = "\0".join(texts) + "\0"
     c = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
     ends = np.cumsum([len(t) + 1 for t in texts]) - 1
