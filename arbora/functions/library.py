@@ -726,6 +726,38 @@ fn("prefix-from-QName")(lambda q: string(F.nullif(q.col.prefix, F.lit(""))))
 fn("parse-uri")(lambda v: V(F.create_map(*[x for part in ("PROTOCOL", "HOST", "PATH", "QUERY", "REF") for x in (F.lit({"PROTOCOL": "scheme", "REF": "fragment"}.get(part, part.lower())), F.try_parse_url(words(v), F.lit(part)))]), "map", member="string"))
 fn("build-uri")(lambda m: string(F.concat(F.coalesce(F.concat(F.try_element_at(m.col, F.lit("scheme")), F.lit("://")), F.lit("")), F.coalesce(F.try_element_at(m.col, F.lit("host")), F.lit("")), F.coalesce(F.try_element_at(m.col, F.lit("path")), F.lit("")), F.coalesce(F.concat(F.lit("?"), F.try_element_at(m.col, F.lit("query"))), F.lit("")), F.coalesce(F.concat(F.lit("#"), F.try_element_at(m.col, F.lit("fragment"))), F.lit("")))))
 
+@fn("analyze-string")
+def analyze_string(v: V, p: V, flags: V | None = None) -> V:
+    """The matches of a pattern and what stands between them, as records of kind (match, non-match) and value."""
+    own = re.compile(pattern(p, flags).replace(r"\p{L}", r"[^\W\d_]").replace(r"\p{N}", r"\d"))
+
+    def cut(s: str) -> list[dict[str, str]]:
+        out, at = [], 0
+        for m in own.finditer(s):
+            if m.start() > at:
+                out.append({"kind": "non-match", "value": s[at : m.start()]})
+            out.append({"kind": "match", "value": m[0]})
+            at = m.end()
+        return out + [{"kind": "non-match", "value": s[at:]}] * (at < len(s))
+
+    empty = V(F.lit(None).cast("string"), "string")
+    return V(mapped(cut, "array<struct<kind:string,value:string>>")(words(v)), "record", many=True, fields={"kind": empty, "value": empty})
+
+
+#: The forms of dates in headers of messages.
+IETF = ("d MMM yyyy HH:mm:ss", "d-MMM-yy HH:mm:ss", "MMM d HH:mm:ss yyyy", "d MMM yyyy HH:mm")
+
+
+@fn("parse-ietf-date")
+def parse_ietf_date(v: V) -> V:
+    s = F.regexp_replace(words(v), r"\s*(GMT|UTC|UT|Z|[+-]\d{4})(\s*\([^)]*\))?$", "")
+    s = F.regexp_replace(F.trim(s), r"^(?i)(mon|tue|wed|thu|fri|sat|sun)[a-z]*,?\s+", "")
+    return V(F.coalesce(*[F.try_to_timestamp(s, F.lit(f)) for f in IETF]).cast("timestamp_ntz"), "dateTime")
+
+
+fn("adjust-date-to-timezone", "adjust-time-to-timezone")(lambda v, tz=None: v)
+LIBRARY["ft:thesaurus-lookup"] = lambda v, *rest: V(F.array(words(v)), "string", many=True)
+
 # constructors -------------------------------------------------------------------------------------------------
 INTEGERS = ("integer", "long", "int", "short", "byte", "nonNegativeInteger", "positiveInteger", "nonPositiveInteger", "negativeInteger", "unsignedLong", "unsignedInt", "unsignedShort", "unsignedByte")
 STRINGS = ("string", "normalizedString", "token", "language", "Name", "NCName", "NMTOKEN", "ID", "IDREF", "ENTITY", "anyURI", "untypedAtomic", "gYear", "gYearMonth", "gMonth", "gMonthDay", "gDay")

@@ -21,6 +21,7 @@ from arbora.functions.values import NUMERIC, SPARK, V, ebv, from_type, literal,
 from arbora.operators import fulltext, windows
 from arbora.operators.paths import COLUMNS, Paths
 from arbora.plans.parser import QueryError, parse
+from arbora.sources import readers
 
 AGGREGATES = ("count", "sum", "avg", "min", "max", "string-join", "distinct-values")
 
@@ -116,7 +117,7 @@ class Compiler:
         kind = node[0]
         if kind == "call":
             name = node[1].removeprefix("fn:")
-            if name in ("collection", "doc"):
+            if name in ("collection", "doc", "unparsed-text", "unparsed-text-lines", "json-doc"):
                 return True
             return name in ("subsequence", "head", "distinct-values", "reverse", "sort", "filter", "unordered", "for-each", "highest", "lowest") and bool(node[2]) and self.table(node[2][0], env)
         if kind == "flwor":
@@ -176,6 +177,10 @@ class Compiler:
             return self.collection(str(args[0][1]))
         if name == "doc":
             return self.node_rows(self.documents(str(args[0][1])).where("pre = 0"), str(args[0][1]))
+        if name in ("unparsed-text", "unparsed-text-lines", "json-doc"):
+            place = str(args[0][1])
+            read = {"unparsed-text": lambda: readers.unparsed_text(self.spark, place).select(F.col("text").alias("item")), "unparsed-text-lines": lambda: readers.unparsed_lines(self.spark, place), "json-doc": lambda: readers.json_doc(self.spark, place)}
+            return self.reread(read[name]())
         rows = self.rows(args[0], env)
         if name == "unordered":
             return Rows(rows.df, rows.item)

@@ -49,6 +49,8 @@ GOLDEN = [
     ("2 instance of xs:integer, 'a' castable as xs:double, (1,2) instance of xs:integer+", [True, False, True]),
     ("for $n in number('x') return $n eq $n", [False]),
     ("5 div 2 eq 2.5, 1e0 div 0 gt 1", [True, True]),
+    ("string-join(analyze-string('a12b', '[0-9]+') ! (?kind || ':' || ?value), ',')", ["non-match:a,match:12,non-match:b"]),
+    ("string(parse-ietf-date('Wed, 06 Jun 1994 07:29:35 GMT'))", ["1994-06-06T07:29:35"]),
 ]
 
 
