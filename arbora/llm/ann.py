@@ -22,7 +22,8 @@ from arbora.llm.common import durable
 
 #: Bits (16 substrings of 8), rows the rotations are fitted to, share of the sample's neighbours within the radius.
 BITS, FIT, COVER = 128, 4096, 0.985
-ROWS_BLOCK, QUERY_BLOCK, ROUNDS = 2048, 1024, 25
+#: A block of rows is a few MB; each query brings its nearest from every block, so larger blocks bring fewer rows.
+ROWS_BLOCK, QUERY_BLOCK, ROUNDS = 16384, 1024, 25
 
 NEAR = np.bitwise_count(np.arange(256, dtype=np.uint8)[:, None] ^ np.arange(256, dtype=np.uint8)[None])
 
