@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 from arbora.llm import bpe, langid, minhash, mixing
 from arbora.llm.common import durable, ship, table
 
+#: Share of the tokens that mixing leaves, whatever rare sources or languages there are.
+KEPT = 0.65
+
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is known by their text: those without a letter, or far from all languages, go."""
@@ -25,9 +28,9 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents sampled so that tokens have the raked mix of sources, languages and topics."""
+    """Documents sampled so that KEPT of the tokens are left, in the raked mix of sources, languages and topics as far as these have them."""
     ship(spark)
-    return mixing.mix(docs).where("_kept").select("_row.*")
+    return mixing.mix(docs, keep=KEPT).where("_kept").select("_row.*")
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
