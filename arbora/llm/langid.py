@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField, StructType
 
 #: Bins, clusters per language, labelled rows per language that the centroids are fitted to (a bound in expectation:
 #: rows are taken by a hash of their id), letters of a text up to which its distance says nothing.
@@ -134,7 +135,7 @@ def fit(docs: DataFrame, id_column: str, text_column: str, lang_column: str, tra
 
 
 def predict(docs: DataFrame, model: dict, id_column: str, text_column: str) -> DataFrame:
-    """(_id, lang_pred, score, rejected) of every row."""
+    """(_id, lang_pred, score, rejected) of every row; the id may be of any type, a whole row, too."""
     model = {k: v.astype(np.float32) if k in ("idf", "centroids") else v for k, v in model.items()}
     shared = docs.sparkSession.sparkContext.broadcast(model)  # BINS x CLUSTERS x languages numbers
 
@@ -160,8 +161,9 @@ def predict(docs: DataFrame, model: dict, id_column: str, text_column: str) -> D
                     out.append(n > SHORT and s < m["floor"][own])
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(out, pa.bool_())], ["_id", "lang_pred", "score", "rejected"])
 
-    kind = docs.schema[id_column].dataType.simpleString()
-    return docs.select(F.col(id_column).alias("_id"), F.col(text_column).alias("_text")).mapInArrow(work, f"_id {kind}, lang_pred string, score double, rejected boolean")
+    rows = docs.select(F.col(id_column).alias("_id"), F.col(text_column).alias("_text"))
+    kind = StructType([rows.schema["_id"], *(StructField(n, t) for n, t in (("lang_pred", StringType()), ("score", DoubleType()), ("rejected", BooleanType())))])
+    return rows.mapInArrow(work, kind)
 
 
 def identify(docs: DataFrame, train: Column, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang") -> DataFrame:
@@ -174,3 +176,10 @@ def identify(docs: DataFrame, train: Column, id_column: str = "doc_id", text_col
     """
     got = predict(docs, fit(docs, id_column, text_column, lang_column, train), id_column, text_column)
     return got.withColumnRenamed("_id", id_column)
+
+
+def known(docs: DataFrame, train: Column, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang") -> DataFrame:
+    """The rows of docs that `identify` doesn't reject, with all their columns; ids may be null or repeated."""
+    rows = docs.select(F.struct("*").alias("_row"), F.col(text_column).alias("_text"))
+    seen = docs.withColumn("_drawn", F.xxhash64(id_column, text_column))  # null ids don't fall into the sample together
+    return predict(rows, fit(seen, "_drawn", text_column, lang_column, train), "_row", "_text").where("not rejected").select("_id.*")

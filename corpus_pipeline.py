@@ -14,17 +14,25 @@ KEPT = 0.65
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is known by their text: those without a letter, or far from all languages, go."""
+    """Documents whose language is known by their text: those without a letter, or far from all languages, go.
+
+    Each row is judged by itself, whether its id is null or repeated.
+    """
     ship(spark)
-    got = langid.identify(docs, F.lit(True)).where("not rejected").select("doc_id").distinct()
-    return docs.join(got, "doc_id", "left_semi")
+    return langid.known(docs, F.lit(True))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near-duplicates, that of the least id."""
+    """One document of each class of near-duplicates, that of the least id (rows without id last).
+
+    Rows are told apart by a key of their own, so texts that share an id, or have none, are each compared and kept.
+    """
     ship(spark)
-    got = minhash.near_duplicates(docs).where("kept").select("doc_id").distinct()
-    return docs.join(got, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    rows = durable(docs.select(F.monotonically_increasing_id().alias("_key"), F.struct("*").alias("_row")))
+    ids = rows.select("_key", F.col("_row.doc_id").alias("_id"))
+    classes = minhash.near_duplicates(rows.select("_key", F.col("_row.text").alias("text")), "_key").select("_key", "class_id")
+    first = classes.join(ids, "_key").groupBy("class_id").agg(F.min(F.struct(F.col("_id").isNull(), "_id", "_key")).alias("_first"))
+    return rows.join(first.select("_first._key"), "_key", "left_semi").select("_row.*")
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -47,3 +47,27 @@ def test_mix_budget_is_exact_and_targets_hold(spark):
     none = {x["_source"]: x["p"] for x in mixing.mix(df, keep=0.4, targets={"_source": {"x": 1.0}}).groupBy("_source").agg(F.max("_p").alias("p")).collect()}
     assert none["y"] == 0 and none["x"] > 0.4
     assert mixing.mix(df.where("false"), keep=0.65).count() == 0
+
+
+def test_pipeline_with_null_and_repeated_ids(spark, tmp_path):
+    import corpus_pipeline
+
+    r = random.Random(6)
+    texts = [words(r, 60) for _ in range(60)]
+    rows = [(i, t) for i, t in enumerate(texts[:20])] + [(None, t) for t in texts[20:40]] + [(i // 4, t) for i, t in enumerate(texts[40:])]
+    rows += [(None, texts[0]), (3, texts[3]), (77, texts[25]), (None, texts[21])]  # copies
+    odd = [(None, "123"), (5, ""), (None, None)]  # no letter; 5 has other rows that stay
+    df = spark.createDataFrame([(*x, "en", "s", 0) for x in rows + odd], DOCS)
+    df.write.parquet(str(tmp_path / "documents.parquet"))
+    kept = corpus_pipeline.language(spark, df, "")
+    assert kept.schema.names == df.schema.names
+    plain = lambda d: sorted(((x["doc_id"], x["text"]) for x in d.collect()), key=str)
+    assert plain(kept) == sorted(rows, key=str)
+    one = corpus_pipeline.near_dedup(spark, kept, "")
+    want = [x for x in rows[:60] if x[1] != texts[25]] + [(77, texts[25])]
+    assert plain(one) == sorted(want, key=str)
+    mixed = corpus_pipeline.mix(spark, one, "")
+    without = mixed.where("doc_id is null").count()
+    assert 0 < without < one.where("doc_id is null").count()
+    assert corpus_pipeline.encode(spark, mixed, "").count() == mixed.count()
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == mixed.count()
