@@ -38,6 +38,11 @@ NAMES = re.compile(
     re.I,
 )
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
+#: Names that tell of a layout, not of what the element is.
+LAYOUT = re.compile(r"(?:^|(?<=\s))(?:has|no|with|without|is|hide|show)[_-]\S*", re.I)
+#: Shares of the page's running text: above NAMED_SHARE an element may be a wrapper of the page whatever its name, with
+#: LEFT_SHARE of its own text outside there is nothing else, and an article of ARTICLE_SHARE is the page's.
+NAMED_SHARE, LEFT_SHARE, ARTICLE_SHARE = 0.5, 0.02, 0.25
 ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)\s*(?:=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
 
 
@@ -117,20 +122,44 @@ def parse(html: str) -> Node:
 
 
 def boilerplate(node: Node) -> bool:
+    """Whether an element is no part of the article by its tag, its role, or as it isn't shown."""
     if node.tag in DROPPED:
         return True
     a = node.attrs
     if not a or node.tag == "body":
         return False
-    if "hidden" in a or a.get("aria-hidden") == "true" or a.get("role", "").lower() in ROLES or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", a.get("style", "")):
-        return True
-    names = f"{a.get('class', '')} {a.get('id', '')}"
+    return "hidden" in a or a.get("aria-hidden") == "true" or a.get("role", "").lower() in ROLES or bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", a.get("style", "")))
+
+
+def named(node: Node) -> bool:
+    """Whether an element's class or id names boilerplate."""
+    a = node.attrs
+    if not a or node.tag == "body":
+        return False
+    names = LAYOUT.sub("", f"{a.get('class', '')} {a.get('id', '')}")
     return node.tag not in ("article", "main", "p", "b", "i", "em", "strong", "span", "a", "code", "mark") and bool(NAMES.search(names)) or node.tag in ("p", "span", "a") and bool(re.search(r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|cookies?|comments?|share|copyright)(?:$|[\s_-])", names, re.I))
 
 
+def measure(order: list[Node]) -> None:
+    """Text, and text in links, of elements in page order."""
+    for x in order:
+        x.text = x.links = 0
+    for x in reversed(order):
+        x.text += sum(len(c.strip()) for c in x.children if isinstance(c, str))
+        if x.tag == "a":
+            x.links = x.text
+        if x.parent is not None:
+            x.parent.text += x.text
+            x.parent.links += x.links
+
+
 def walk(root: Node) -> list[Node]:
-    """Elements in page order, without those below dropped ones; marks the dropped and measures the text of the rest."""
-    order, todo = [], [root]
+    """Elements in page order, without those below dropped ones; marks the dropped and measures the text of the rest.
+
+    A name doesn't drop an element that holds main or the page's own article, nor one with most of the page's running
+    text that has the page's heading, too, or outside which there is no running text.
+    """
+    order, todo, some = [], [root], False
     while todo:
         x = todo.pop()
         x.dropped = boilerplate(x) and x is not root
@@ -142,14 +171,37 @@ def walk(root: Node) -> list[Node]:
         if not x.dropped:
             order.append(x)
             todo += [c for c in reversed(x.children) if not isinstance(c, str)]
+    measure(order)
+    total = order[0].text - order[0].links
+    articles = [x for x in order if x.tag == "article" and x.text - x.links >= ARTICLE_SHARE * total]
+    holds: set[int] = set()  # ancestors of main and of the longest article
+    titled: set[int] = set()
+    plain = {id(x): x.text - x.links for x in order if x.tag in HEADING}
+    beside = sum(plain.values())  # headings aren't running text
+    headed: dict[int, int] = {}
     for x in reversed(order):
-        own = sum(len(c.strip()) for c in x.children if isinstance(c, str))
-        x.text += own
-        if x.tag == "a":
-            x.links = x.text
+        headed[id(x)] = headed.get(id(x), 0) + plain.get(id(x), 0)
         if x.parent is not None:
-            x.parent.text += x.text
-            x.parent.links += x.links
+            headed[id(x.parent)] = headed.get(id(x.parent), 0) + headed[id(x)]
+            if x.tag in ("h1", "h2") and x.text or id(x) in titled:
+                titled.add(id(x.parent))
+    for x in [y for y in order if y.tag == "main"] + ([max(articles, key=lambda y: y.text - y.links)] if articles else []):
+        while x.parent is not None and id(x.parent) not in holds:
+            x = x.parent
+            holds.add(id(x))
+    gone: set[int] = set()
+    for x in order:
+        if x.parent is not None and id(x.parent) in gone:
+            gone.add(id(x))
+        elif x is not root and id(x) not in holds and named(x):
+            own = x.text - x.links
+            left = total - beside - (own - headed[id(x)])
+            if own <= NAMED_SHARE * total or id(x) not in titled and left > LEFT_SHARE * own:
+                x.dropped = some = True
+                gone.add(id(x))
+    if some:
+        order = [x for x in order if id(x) not in gone]
+        measure(order)
     return order
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 pytest.importorskip("public_tokenizers")
 
-from arbora.llm import mixing  # noqa: E402
+from arbora.llm import html, mixing  # noqa: E402
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -71,3 +71,13 @@ def test_pipeline_with_null_and_repeated_ids(spark, tmp_path):
     assert 0 < without < one.where("doc_id is null").count()
     assert corpus_pipeline.encode(spark, mixed, "").count() == mixed.count()
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == mixed.count()
+
+
+@pytest.mark.parametrize("name", ["content has-sidebar", "no-sidebar", "with-header", "layout no-comments", "page-sidebar", "related-wrapper", "main-footer-wrap"])
+def test_an_article_stays_in_a_wrapper_with_such_a_name(name):
+    text = "The ferry was late, and the crew told us at length why it had been held up by the tide and the wind. " * 4
+    inside = f"<h1>Ferry</h1><p>{text}</p><p>{text}</p>"
+    side = "<div class='sidebar'><p>Other stories that you may like to read</p></div><div class='comments'><p>First! What a long wait.</p></div>"
+    for body in (inside, f"<article>{inside}</article>"):
+        got = html.extract(f"<html><body><div class='{name}'>{body}{side}</div><footer>About us</footer></body></html>", None)
+        assert got.split("\n") == ["Ferry", text.strip(), text.strip()]
