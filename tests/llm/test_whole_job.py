@@ -2,12 +2,13 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 pytest.importorskip("public_tokenizers")
 
-from arbora.llm import html, mixing  # noqa: E402
+from arbora.llm import html, lmscore, mixing  # noqa: E402
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -81,3 +82,36 @@ def test_an_article_stays_in_a_wrapper_with_such_a_name(name):
     for body in (inside, f"<article>{inside}</article>"):
         got = html.extract(f"<html><body><div class='{name}'>{body}{side}</div><footer>About us</footer></body></html>", None)
         assert got.split("\n") == ["Ferry", text.strip(), text.strip()]
+
+
+def test_scores_tell_running_text_from_shuffled(spark):
+    r = random.Random(12)
+    vocabulary = words(r, 120).split()
+    follows = {w: r.sample(vocabulary, 4) for w in vocabulary}
+
+    def running(n: int) -> list[str]:
+        out = [r.choice(vocabulary)]
+        while len(out) < n:
+            out.append(r.choice(follows[out[-1]]))
+        return out
+
+    held = [running(50) for _ in range(20)]
+    rows = [(i, " ".join(running(50)), True) for i in range(300)] + [(1000 + i, " ".join(w), False) for i, w in enumerate(held)]
+    rows += [(2000 + i, " ".join(r.sample(w, len(w))), False) for i, w in enumerate(held)]
+    got = {x["doc_id"]: x for x in lmscore.score(spark.createDataFrame(rows, "doc_id long, text string, train boolean"), F.col("train")).collect()}
+    for i in range(20):
+        assert abs(got[1000 + i]["base_score"] - got[2000 + i]["base_score"]) < 1e-6
+    fluent, mixed = (sum(got[k + i]["score"] for i in range(20)) for k in (1000, 2000))
+    assert fluent > 0.6 * mixed and fluent > 0.6 * sum(got[1000 + i]["base_score"] for i in range(20))
+    print("fluent, shuffled, unigram:", fluent, mixed, sum(got[1000 + i]["base_score"] for i in range(20)))
+
+
+def test_pairs_leave_a_probability():
+    """Behind a word, pairs and what is left for new ones add up to 1 if words do; the weight fits the pairs seen once."""
+    left = np.array([1000 * x / (1000 + x) for x in lmscore.WEIGHTS])
+    w = lmscore.fitting(left, 200)
+    assert abs(1000 * w / (1000 + w) - 200) < 10
+    h = np.array([11, 12, 11, 12], np.uint64)
+    one, two = lmscore.pairs(h, np.array([4])), lmscore.pairs(h, np.array([2, 0, 2]))
+    assert len(one) == 5 and len(two) == 7 and one[1] == one[3] == two[1] == two[5] and one[0] == two[0] == two[4] and one[2] not in two
+    assert (one >= lmscore.PAIR).all() and (lmscore.segments(h, np.array([4]))[1] < lmscore.PAIR).all()
