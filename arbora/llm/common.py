@@ -30,9 +30,11 @@ def ship(spark: SparkSession) -> None:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names; a local one only where it names none."""
+    """The shared folder that the cluster names; a local one only where it names none and all tasks run on this machine."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not spark.sparkContext.master.partition("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="arbora-")
         spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")
@@ -46,17 +48,27 @@ def durable(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark)}/arbora-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    atexit.register(remove, spark, path)
+    return spark.read.schema(df.schema).parquet(path)
 
-    def remove() -> None:
-        try:
-            place = jvm.org.apache.hadoop.fs.Path(path)
-            place.getFileSystem(conf).delete(place, True)
-        except Exception:  # the JVM has gone; the folder is the cluster's to clear
-            pass
 
-    atexit.register(remove)
-    return spark.read.schema(df.schema).parquet(path)
+def bucketed(df: DataFrame, key: str) -> DataFrame:
+    """Like durable, but dealt by key: grouping or joining what is read by this key needs no shuffle of it."""
+    spark = df.sparkSession
+    name = f"arbora_{uuid.uuid4().hex}"
+    path = f"{checkpoint_dir(spark)}/{name}"
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.write.format("parquet").bucketBy(n, key).option("path", path).saveAsTable(name)
+    atexit.register(remove, spark, path)
+    return spark.table(name)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    try:
+        place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+    except Exception:  # the JVM has gone; the folder is the cluster's to clear
+        pass
 
 
 def remainder(column, n: int):
