@@ -1,11 +1,12 @@
 """Nearest neighbours by inner product: multi-index hashing of learned rotated binary codes.
 
 Inner product becomes cosine by one added component (the root of the largest squared length less one's own). Codes are
-the signs of two rotations that are learned on a bounded sample (FIT rows) by alternating codes and the orthogonal
+the signs of rotations that are learned on a bounded sample (FIT rows) by alternating codes and the orthogonal
 Procrustes rotation to them. A code is split into substrings of a byte. A code within Hamming radius r of a query's
 differs in some substring by at most r / substrings bits (pigeonhole), so the codes to check are the union of the
-substrings' buckets within that distance; they are then held against r in full, and the rest is ranked by the vectors
-themselves. The radius is read off the sample's own neighbours, which are farther than those among more rows.
+substrings' buckets within that distance; these are held against r in full, and only those within it are ranked by
+their vectors. The radius is read off the sample: a query's k nearest of n rows are as far as its k * sample / n nearest
+of the sample.
 
 Queries and rows are dealt into blocks of a fixed size; each pair of blocks is a task with its own index. Queries with
 fewer neighbours than asked for within the radius are searched again without one.
@@ -20,8 +21,8 @@ from pyspark.sql import functions as F
 
 from arbora.llm.common import durable
 
-#: Bits (16 substrings of 8), rows the rotations are fitted to, share of the sample's neighbours within the radius.
-BITS, FIT, COVER = 128, 4096, 0.985
+#: Bits (32 substrings of 8), rows the rotations are fitted to, share of the sample's neighbours within the radius.
+BITS, FIT, COVER = 256, 4096, 0.97
 #: A block of rows is a few MB; each query brings its nearest from every block, so larger blocks bring fewer rows.
 ROWS_BLOCK, QUERY_BLOCK, ROUNDS = 16384, 1024, 25
 
@@ -68,14 +69,17 @@ class Index:
             reach = whole if k <= more else whole - 1
             self.balls.append(np.packbits(NEAR[:, code[:, k]] <= reach, axis=1) if reach >= 0 else np.zeros((256, -(-len(code) // 8)), np.uint8))
 
+    def probed(self, query: np.ndarray) -> np.ndarray:
+        """The rows in the buckets that a query's code reaches, as bits."""
+        rows = self.balls[0][query[0]].copy()
+        for k in range(1, len(query)):
+            rows |= self.balls[k][query[k]]
+        return rows
+
     def within(self, query: np.ndarray) -> np.ndarray:
-        """Whether each row's code is within the radius of each query's; only probed rows are held against it."""
-        probed = self.balls[0][query[:, 0]]
-        for k in range(1, query.shape[1]):
-            probed = probed | self.balls[k][query[:, k]]
-        out = np.unpackbits(probed, axis=1, count=len(self.code)).astype(bool)
-        out &= distances(query, self.code) <= self.radius
-        return out
+        """The rows whose codes are within the radius of a query's; only probed rows are held against it."""
+        rows = np.flatnonzero(np.unpackbits(self.probed(query), count=len(self.code)))
+        return rows[distances(query[None], self.code[rows])[0] <= self.radius]
 
 
 def valid(column: Column) -> Column:
@@ -90,22 +94,44 @@ def matrix(column: pa.ChunkedArray) -> np.ndarray:
     return flat.to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
 
 
+def nearest(index: Index, ids: np.ndarray, x: np.ndarray, who: int, q: np.ndarray, code: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k nearest rows (in the order of ids) that the index retrieves for one query, and their inner products."""
+    rows = index.within(code)
+    rows = rows[ids[rows] != who]
+    s = (x[rows] * q).sum(axis=1)  # in one order for all, so that equal vectors tie
+    if len(s) > k:
+        some = s >= np.partition(s, -k)[-k]
+        rows, s = rows[some], s[some]
+    order = np.lexsort((ids[rows], -s))[:k]
+    return ids[rows[order]], s[order]
+
+
+def radius_of(sample: np.ndarray, base: np.ndarray, probe: np.ndarray, k: int, n: int) -> int:
+    """The Hamming radius that holds COVER of the sample's neighbours, as many of them as k of n rows come to; base, probe: codes."""
+    near = sample[: len(probe)] @ sample.T
+    near[np.arange(len(near)), np.arange(len(near))] = -np.inf
+    top = np.argsort(-near, axis=1)[:, : min(-(-k * len(sample) // n), len(sample) - 1)]
+    gaps = np.take_along_axis(distances(probe, base), top, axis=1)
+    return int(np.quantile(gaps, COVER)) if gaps.size else BITS
+
+
 def search(vectors: DataFrame, queries: Column, k: int = 20, id_column: str = "vec_id", vector_column: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id and score of the k nearest rows found for each row where queries holds; all if fewer.
 
     Rows with an unusable vector (null, empty, zero, null or non-finite components), a null id, or another number of
-    components than the first usable row by id take no part. Ties go to the smaller id. Rows that repeat an id are candidates each;
+    components than most usable rows (the smaller of two as frequent) take no part. Ties go to the smaller id. Rows that repeat an id are candidates each;
     a query isn't a candidate of its own id. Other columns are left out, whatever their names; an empty table gives an
     empty result.
     """
-    rows = vectors.select(F.col(id_column).cast("long").alias("_id"), F.col(vector_column).cast("array<double>").alias("_v"), F.coalesce(queries, F.lit(False)).alias("_q"))
+    rows = vectors.select(F.col(id_column).cast("long").alias("_id"), F.col(vector_column).alias("_v"), F.coalesce(queries, F.lit(False)).alias("_q"))
     rows = rows.where(F.col("_id").isNotNull() & valid(F.col("_v")))
-    length = F.aggregate("_v", F.lit(0.0), lambda s, v: s + v * v)
-    facts = rows.agg(F.count(F.lit(1)).alias("n"), F.count_if("_q").alias("q"), F.max(length).alias("most"), F.min(F.struct("_id", F.size("_v").alias("d"))).alias("first")).first()
+    length = F.aggregate("_v", F.lit(0.0), lambda s, v: s + v.cast("double") * v.cast("double"))
+    facts = rows.groupBy(F.size("_v").alias("d")).agg(F.count(F.lit(1)).alias("n"), F.count_if("_q").alias("q"), F.max(length).alias("most")).orderBy(F.desc("n"), "d").limit(1).collect()
     schema = "query_id long, rank int, vec_id long, score double"
-    if not facts["n"] or not facts["q"]:
+    if not facts or not facts[0]["q"]:
         return vectors.sparkSession.createDataFrame([], schema)
-    dims, most = facts["first"]["d"], facts["most"]
+    facts = facts[0]
+    dims, most = facts["d"], facts["most"]
     rows = rows.where(F.size("_v") == dims)
 
     def extended(x: np.ndarray, query: bool) -> np.ndarray:
@@ -120,11 +146,7 @@ def search(vectors: DataFrame, queries: Column, k: int = 20, id_column: str = "v
         sample = matrix(rows.orderBy("_id").limit(FIT).select("_v").toArrow().column("_v"))
     mean, rotation = learn(extended(sample, False))
     base, probe = codes(extended(sample, False), mean, rotation), codes(extended(sample[:256], True), mean, rotation)
-    near = sample[:256] @ sample.T
-    near[np.arange(len(near)), np.arange(len(near))] = -np.inf
-    top = np.argsort(-near, axis=1)[:, : min(k, len(sample) - 1)]
-    gaps = np.take_along_axis(distances(probe, base), top, axis=1)
-    radius = int(np.quantile(gaps, COVER)) if gaps.size else BITS
+    radius = radius_of(sample, base, probe, k, facts["n"])
 
     n_blocks, n_queries = -(-facts["n"] // ROWS_BLOCK), -(-facts["q"] // QUERY_BLOCK)
 
@@ -134,34 +156,24 @@ def search(vectors: DataFrame, queries: Column, k: int = 20, id_column: str = "v
         right = q.select("_id", "_v", deal(parts, "query").alias("_c"), F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("_r"))
         return left, right
 
-    def nearest(limit: int):
+    def ranked(limit: int):
         def work(left: pa.Table, right: pa.Table) -> pa.Table:
-            out: list[tuple[np.ndarray, ...]] = []
+            out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
             if len(left) and len(right):
                 order = np.argsort(left.column("_id").to_numpy(), kind="stable")
                 ids, x = left.column("_id").to_numpy()[order], matrix(left.column("_v"))[order]
-                qids, q = right.column("_id").to_numpy(), matrix(right.column("_v"))
+                q = matrix(right.column("_v"))
                 index = Index(codes(extended(x, False), mean, rotation), limit)
-                for at in range(0, len(q), 128):
-                    own, who = q[at : at + 128], qids[at : at + 128]
-                    fit = index.within(codes(extended(own, True), mean, rotation)) & (who[:, None] != ids[None])
-                    s = np.where(fit, own @ x.T, -np.inf)
-                    least = np.sort(s, axis=1)[:, -k] if s.shape[1] > k else np.full(len(s), -np.inf)
-                    i, j = np.nonzero(fit & (s >= (least - 1e-9 * np.maximum(1, np.abs(least)))[:, None]))
-                    exact = (own[i] * x[j]).sum(axis=1)
-                    order = np.lexsort((ids[j], -exact, i))
-                    i, j, exact = i[order], j[order], exact[order]
-                    rank = np.arange(len(i)) - np.searchsorted(i, i)
-                    keep = rank < k
-                    out.append((who[i[keep]], ids[j[keep]], exact[keep]))
-            parts = [np.concatenate(c) for c in zip(*out)] if out else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
-            return pa.table(dict(zip(("query_id", "vec_id", "score"), map(pa.array, parts))))
+                for who, own, code in zip(right.column("_id").to_pylist(), q, codes(extended(q, True), mean, rotation)):
+                    near, s = nearest(index, ids, x, who, own, code, k)
+                    out.append((np.full(len(near), who), near, s))
+            return pa.table(dict(zip(("query_id", "vec_id", "score"), (pa.array(np.concatenate(c)) for c in zip(*out)))))
 
         return work
 
     def found(data: DataFrame, q: DataFrame, parts: int, limit: int) -> DataFrame:
         left, right = cells(data, q, parts)
-        return left.groupBy("_r", "_c").cogroup(right.groupBy("_r", "_c")).applyInArrow(nearest(limit), "query_id long, vec_id long, score double")
+        return left.groupBy("_r", "_c").cogroup(right.groupBy("_r", "_c")).applyInArrow(ranked(limit), "query_id long, vec_id long, score double")
 
     q = rows.where("_q").dropDuplicates(["_id"])
     first = durable(found(rows, q, n_queries, radius))

@@ -156,8 +156,54 @@ def test_pigeonhole_finds_every_code_within_the_radius():
     r = np.random.default_rng(1)
     code = r.integers(0, 256, (500, 16)).astype(np.uint8)
     for radius in (0, 7, 40, 53, 60):
-        got = ann.Index(code, radius).within(code[:50])
-        assert (got == (ann.distances(code[:50], code) <= radius)).all()
+        index = ann.Index(code, radius)
+        for q in code[:50]:
+            near = np.flatnonzero(ann.distances(q[None], code)[0] <= radius)
+            assert index.within(q).tolist() == near.tolist()
+            assert np.unpackbits(index.probed(q), count=500)[near].all()
+
+
+def retrieved(x, k=20):
+    """Recall against brute force, and the shares of rows that are probed and whose inner products are computed."""
+    x = x / np.linalg.norm(x, axis=1, keepdims=True)
+    x = x[np.random.default_rng(3).permutation(len(x))]
+    mean, rotation = ann.learn(x[: ann.FIT])
+    code = ann.codes(x, mean, rotation)
+    index = ann.Index(code, ann.radius_of(x[: ann.FIT], code[: ann.FIT], code[:256], k, len(x)))
+    hits = probed = ranked = 0
+    queries = range(0, len(x), max(20, len(x) // 100))
+    for q in queries:
+        s = x @ x[q]
+        s[q] = -9
+        near, _ = ann.nearest(index, np.arange(len(x)), x, q, x[q], code[q], k)
+        hits += len(set(near.tolist()) & set(np.argsort(-s)[:k].tolist()))
+        probed += int(np.unpackbits(index.probed(code[q]), count=len(x)).sum())
+        ranked += len(index.within(code[q]))
+    n = len(queries)
+    return hits / (k * n), probed / (n * len(x)), ranked / (n * len(x))
+
+
+def test_few_rows_are_ranked():
+    """Vectors without any structure are the worst case: buckets hold little then, but the radius still does."""
+    r = np.random.default_rng(4)
+    recall, probed, ranked = retrieved(r.standard_normal((20_000, 64)))
+    print("without structure: recall, probed, ranked", recall, probed, ranked)
+    assert recall >= 0.9 and ranked < 0.05
+    # Groups of near vectors, as embeddings of texts have them: most rows aren't probed, either.
+    centres = r.standard_normal((400, 64))
+    recall, probed, ranked = retrieved(np.repeat(centres, 50, axis=0) + 0.1 * r.standard_normal((20_000, 64)))
+    print("in groups: recall, probed, ranked", recall, probed, ranked)
+    assert recall >= 0.9 and ranked < 0.01 and probed < 0.3
+
+
+def test_nearest_with_mixed_lengths_ties_and_repeated_ids(spark):
+    """One short vector with the least id doesn't decide; equal vectors tie by id; a repeated id is a candidate each time."""
+    rows = [(0, [1.0, 2.0])] + [(i, [1.0, 0.0, 0.0] if i < 30 else [0.0, float(i), 1.0]) for i in range(1, 60)] + [(7, [1.0, 0.0, 0.0])]
+    got = ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), F.col("vec_id").isin(20, 40), k=5).collect()
+    own = {q: [r["vec_id"] for r in sorted(got, key=lambda r: r["rank"]) if r["query_id"] == q] for q in (20, 40)}
+    assert own == {20: [1, 2, 3, 4, 5], 40: [59, 58, 57, 56, 55]}
+    again = ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), F.col("vec_id") == 20, k=8).collect()
+    assert [r["vec_id"] for r in sorted(again, key=lambda r: r["rank"])] == [1, 2, 3, 4, 5, 6, 7, 7]
 
 
 def test_cap_dedup(spark):
