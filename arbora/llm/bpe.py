@@ -9,7 +9,6 @@ without a loop over characters.
 from __future__ import annotations
 
 import base64
-import gc
 import hashlib
 from collections.abc import Iterator
 from itertools import chain
@@ -19,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from arbora.llm.common import no_cycles
+
 # What may follow an apostrophe as a piece of its own.
 ONE, TWO = "stmd", ("re", "ve", "ll")
 
@@ -194,7 +195,7 @@ _codecs: dict[str, Codec] = {}
 def encode(docs: DataFrame, ranks_path: str, id_column: str = "doc_id", text_column: str = "text", with_ids: bool = False, at_once: int = 1 << 18) -> DataFrame:
     """id, n_tokens, ids_sha256 and decoded_sha256 of every row; with_ids adds ids and offsets, from which any span decodes.
 
-    A null text is encoded as an empty one: 0 tokens, the digests of nothing. Repeated rows give repeated rows, an
+    A null text is encoded as an empty one: 0 tokens, the digests of nothing. Ids may be null and of any type. Repeated rows give repeated rows, an
     empty table an empty one; other columns are left out whatever their names. No text is cut; very long ones and
     pieces are merged in time n log n. Nothing is shuffled.
     """
@@ -205,7 +206,10 @@ def encode(docs: DataFrame, ranks_path: str, id_column: str = "doc_id", text_col
             bits = np.unpackbits(np.frombuffer(kinds, np.uint8)).reshape(-1, 2)
             _codecs[ranks_path] = Codec(ranks_path, bits[:, 0] * np.uint8(2) + bits[:, 1])
         codec = _codecs[ranks_path]
-        gc.disable()  # nothing here makes cycles, and its passes over the remembered pieces cost more than the merging
+        with no_cycles():
+            yield from encoded(codec, batches)
+
+    def encoded(codec: Codec, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows, part, held = [], [], 0
 

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import gc
 import os
 import tempfile
 import uuid
@@ -71,6 +73,18 @@ def remove(spark: SparkSession, path: str) -> None:
         pass
 
 
+@contextlib.contextmanager
+def no_cycles() -> Iterator[None]:
+    """For work that makes no cycles but holds many objects, which the collector's passes would cost more than the work; a worker that is used again has its collector back."""
+    was = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if was:
+            gc.enable()
+
+
 def remainder(column, n: int):
     """crc32 of a number as text, modulo n: the folds that the queries fix."""
     return F.crc32(column.cast("string").cast("binary")) % n

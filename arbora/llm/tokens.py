@@ -1,15 +1,15 @@
 """Token counts of whole texts, huge ones by overlapping chunks that are spliced where both encodings agree.
 
-The vocabulary lower-cases, drops white space and never joins pieces across it. A white-space character is therefore
-a boundary that is proved by the tokenizer's own rules: normal form C composes nothing with it, and neither a special
-string nor a piece holds it. Two encodings of overlapping chunks are spliced at a token start that both have, that
-follows such a character, and from which on both list the same tokens; if an overlap has none, it is doubled and encoded anew, in the end to
-the whole text.
+The vocabulary lower-cases, drops white space and never joins pieces across it, nor across a digit, nor from a letter
+to a sign. Such a place is a boundary that is proved by the tokenizer's own rules: normal form C composes nothing
+across it, and neither a special string nor a piece holds it. Two encodings of overlapping chunks are spliced at a
+token start that both have, that is such a place, and from which on both list the same tokens. An overlap without one
+is widened; where a whole chunk has none, the chunk is, to twice its size, so that a text without any boundary costs
+a few times its length.
 """
 
 from __future__ import annotations
 
-import gc
 import os
 import re
 from collections.abc import Iterator
@@ -20,6 +20,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from arbora.llm.common import no_cycles
+
 #: Characters of a chunk and of an overlap, characters of text encoded at once, words remembered by a worker.
 CHUNK, OVERLAP, AT_ONCE, REMEMBERED = 1 << 16, 1 << 10, 1 << 18, 400_000
 LONG_WORD = 256
@@ -30,6 +32,10 @@ SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 PLAIN = re.compile("[\x21-\x7f\xa1-\xff]+")
 
 
+#: Proved boundaries: behind white space, beside a digit (no special string holds one), from a letter to a sign other than |.
+BOUNDARY = re.compile(r"(?<=[ \n\t\r])(?=\S)|(?<=[0-9])(?=[!-~])|(?<=[!-~])(?=[0-9])|(?<=[A-Za-z])(?=[!-/:-@\[-`{}~])")
+
+
 class Counter:
     """Counts tokens as the library does with the vocabulary at path, without begin, end or added special tokens."""
 
@@ -59,7 +65,7 @@ class Counter:
         for w, own in parts.items():
             (extra if len(w) > LONG_WORD else self.words)[w] = sum(map(self.pieces.__getitem__, own))
         got = self.words if not extra else {**{w: self.words[w] for words in split if words for w in words if w in self.words}, **extra}
-        out = [len(self.huge(t)) if words is None else sum(map(got.__getitem__, words)) for t, words in zip(texts, split)]
+        out = [self.huge(t) if words is None else sum(map(got.__getitem__, words)) for t, words in zip(texts, split)]
         if len(self.words) > REMEMBERED or len(self.pieces) > REMEMBERED:
             self.words, self.pieces = {"": 0}, {}
         for w in extra:
@@ -82,46 +88,52 @@ class Counter:
         e = self.library.encode(text[start:end], add_special_tokens=False)
         return [(i, a + start, b + start) for i, (a, b) in zip(e.ids, e.offsets)]
 
-    def huge(self, text: str) -> list[tuple[int, int, int]]:
-        """Tokens of a text of any length, from overlapping chunks."""
-        done: list[tuple[int, int, int]] = self.piece(text, 0, min(self.chunk, len(text)))
-        end = min(self.chunk, len(text))
-        while end < len(text):
-            overlap = self.overlap
-            while True:
-                start = max(0, end - overlap)
-                stop = min(len(text), end + self.chunk - min(self.overlap, self.chunk // 2))
-                if start == 0:  # no boundary was proved: the text so far is encoded in one
-                    done, end = self.piece(text, 0, stop), stop
-                    break
-                after = self.piece(text, start, stop)
-                cut = self.agree(text, done, after, start, end)
-                if cut:
-                    del done[cut[0] :]
-                    done += after[cut[1] :]
-                    end = stop
-                    break
-                overlap *= 2
+    def huge(self, text: str) -> int:
+        """Tokens of a text of any length, from overlapping chunks; holds one or two chunks' tokens."""
+        total, start, size = 0, 0, self.chunk
+        stop = min(size, len(text))
+        piece = self.piece(text, start, stop)
+        while stop < len(text):
+            overlap, cut = self.overlap, None
+            while cut is None and overlap < 2 * (stop - start):
+                begin = max(start, stop - overlap)
+                if any(True for _ in BOUNDARY.finditer(text, begin + 1, stop)):
+                    end = min(len(text), stop + self.chunk - min(self.overlap, self.chunk // 2))
+                    after = self.piece(text, begin, end)
+                    cut = self.agree(text, piece, after, begin, stop)
+                if cut is None:
+                    overlap *= 2
+                    self.widened += 1
+            if cut is None:  # no boundary was proved since the last one
+                size *= 2
                 self.widened += 1
-        return done
+                stop = min(len(text), start + size)
+                piece = self.piece(text, start, stop)
+            else:
+                total += cut[0]
+                piece, size = after[cut[1] :], self.chunk
+                start, stop = piece[0][1], end
+        return total + len(piece)
 
     def agree(self, text: str, done: list, after: list, start: int, end: int) -> tuple[int, int] | None:
         """Where to leave the first list and enter the second, or None if no common boundary is proved.
 
-        The boundary is the first token of the overlap after white space that both lists start at the same place;
-        from there to the last white space before the first chunk's end, both must list the same tokens.
+        It is the first token of the overlap that both lists start at the same boundary; from there to the last
+        boundary before the first chunk's end, both must list the same tokens.
         """
-        sure = max((text.rfind(c, start, end) for c in " \n\t\r"), default=-1)
-        if sure < 0:
+        proved = [m.start() for m in BOUNDARY.finditer(text, start, end) if m.start() > start]
+        if not proved:
             return None
+        sure = proved[-1]
         low = len(done)
         while low and done[low - 1][1] >= start:
             low -= 1
         places = {done[k][1]: k for k in range(low, len(done))}
+        known = set(proved)
         for j, (_, a, _) in enumerate(after):
-            if a > sure:
+            if a >= sure:
                 break
-            if a > start and text[a - 1] in " \n\t\r" and a in places:
+            if a in known and a in places:
                 k = places[a]
                 both = sum(1 for x in done[k:] if x[1] < sure)
                 if both and done[k : k + both] == after[j : j + both]:
@@ -132,13 +144,17 @@ class Counter:
 def token_counts(docs: DataFrame, vocabulary: str, id_column: str = "doc_id", text_column: str = "text", limit: int = 2048) -> DataFrame:
     """id, n_bytes, n_tokens and over_limit of every row of docs; other columns, whatever their names, are left out.
 
-    A null text counts as empty: 0 bytes, 0 tokens. Repeated rows give repeated rows. An empty table gives an empty
-    one. No text is cut. Nothing is shuffled; a worker holds one batch and a bounded memory of words.
+    A null text counts as empty: 0 bytes, 0 tokens. Ids may be null and of any type. Repeated rows give repeated rows.
+    An empty table gives an empty one. No text is cut. Nothing is shuffled; a worker holds one batch and a bounded
+    memory of words.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = Counter(vocabulary)
-        gc.disable()  # nothing here makes cycles, and its passes over the remembered words cost more than the counting
+        with no_cycles():
+            yield from counted(counter, batches)
+
+    def counted(counter: Counter, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts, n, held, part = b.column(1), [], 0, []
             for t in texts:

@@ -2,6 +2,8 @@
 
 import hashlib
 import random
+import string
+import time
 import zlib
 
 import pytest
@@ -40,10 +42,26 @@ def test_chunks_are_spliced_where_both_agree():
     c = tokens.Counter(P.path("word_bpe_49k.json"), chunk=200, overlap=16)
     texts = ["".join(r.choice(["the ", "Q", "é", "zzz", " ", "\n", "'re", "12", "<|endoftext|>", "!?"]) for _ in range(r.randint(100, 900))) for _ in range(40)]
     for t in [*texts, "x" * 3000, "é" * 900 + " end"]:
-        assert [x[0] for x in c.huge(t)] == own.encode(t, add_special_tokens=False).ids
+        assert c.huge(t) == len(own.encode(t, add_special_tokens=False).ids)
     assert c.widened > 0
 
 
+def test_texts_without_white_space_take_linear_time():
+    """Digits and signs are boundaries, too; where there is none at all the chunk grows, so nothing is encoded again from the start."""
+    own, r = library(), random.Random(5)
+    c = tokens.Counter(P.path("word_bpe_49k.json"), chunk=1 << 12, overlap=64)
+    alphabet = string.ascii_letters + string.digits + "+/"
+    for t in ("".join(r.choices(alphabet, k=60_000)), "".join(r.choices("abcé|<>", k=30_000)), "na" * 20_000, "don't|<|endoftext|>x1" * 2000):
+        assert c.huge(t) == len(own.encode(t, add_special_tokens=False).ids)
+    took = []
+    c = tokens.Counter(P.path("word_bpe_49k.json"))
+    for n in (1, 4):
+        began = time.perf_counter()
+        c.huge("".join(r.choices(alphabet, k=n * 500_000)))
+        took.append(time.perf_counter() - began)
+    assert took[1] < 8 * took[0] + 1
+
+
 def encoding():
     import tiktoken
 
