@@ -1,6 +1,6 @@
 """Shards by a consistent-hash ring with virtual nodes and bounded loads, in DataFrame operations only.
 
-The ring has PLACES places; each shard holds VNODES virtual nodes on places that its number decides. A row's key is
+The ring has PLACES places, or four for each virtual node if there are many shards; each shard holds VNODES virtual nodes on places that its number decides. A row's key is
 its text, so equal texts start at one place; it belongs to the first virtual node clockwise. A shard holds at most its
 bound of rows. Each shard first takes the rows of its own arcs, in the ring's order; what overflows continues
 clockwise to the next shards that have room. With bounds that differ by one at most, counts do, too.
@@ -12,6 +12,7 @@ of the rows is spread over many tasks.
 
 from __future__ import annotations
 
+import json
 import zlib
 
 from pyspark.sql import Column, DataFrame, Window
@@ -21,14 +22,20 @@ from pyspark.sql import functions as F
 PLACES, VNODES, ROWS_PER_SALT, LEAST_SALTS = 4096, 64, 200_000, 64
 
 
+def places(shards: int) -> int:
+    """Places of the ring: a power of two with room for all virtual nodes."""
+    return max(PLACES, 1 << (4 * shards * VNODES - 1).bit_length())
+
+
 def ring(shards: int) -> list[tuple[int, int]]:
     """(place, shard) of the virtual nodes, in order; a place that is taken sends a node to the next free one."""
+    n = places(shards)
     taken: dict[int, int] = {}
     for v in range(VNODES):
         for s in range(shards):
-            at = zlib.crc32(f"shard {s} node {v}".encode()) % PLACES
+            at = zlib.crc32(f"shard {s} node {v}".encode()) % n
             while at in taken:
-                at = (at + 1) % PLACES
+                at = (at + 1) % n
             taken[at] = s
     return sorted(taken.items())
 
@@ -64,16 +71,16 @@ def shard(docs: DataFrame, shards: int = 8, id_column: str = "doc_id", text_colu
     """id, size, text_crc32, law, shard, slot and grown_shard of every row; other columns are left out whatever their names.
 
     The law is `rows`: counts at most one apart. size is the text's bytes plus 1; a null text has none, and the crc32
-    of none. Rows with null or repeated ids and texts each get a slot of their own. An empty table gives an empty one.
+    of none. Any number of shards from 1 on. Rows with null or repeated ids and texts each get a slot of their own. An empty table gives an empty one.
     """
     text = F.col(text_column).cast("binary")
     rows = docs.select(
         F.col(id_column).alias("_id"), (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long").alias("_size"), F.coalesce(F.crc32(text), F.lit(0)).cast("long").alias("_crc"),
-        F.pmod(F.xxhash64(text), F.lit(PLACES)).cast("int").alias("_place"), F.xxhash64(F.col(id_column), F.lit("salt")).alias("_spread"),
+        F.pmod(F.xxhash64(text), F.lit(places(shards))).cast("int").alias("_place"), F.xxhash64(F.col(id_column), F.lit("salt")).alias("_spread"),
     )
     nodes = ring(shards)
     owner, k = [], 0
-    for place in range(PLACES):
+    for place in range(places(shards)):
         while k < len(nodes) and nodes[k][0] < place:
             k += 1
         owner.append(k % len(nodes))
@@ -84,8 +91,8 @@ def shard(docs: DataFrame, shards: int = 8, id_column: str = "doc_id", text_colu
     offsets = counts.select("_arc", "_salt", (F.sum("_n").over(Window.partitionBy("_arc").orderBy("_salt")) - F.col("_n")).alias("_before"))
     per_arc = {r["_arc"]: r["_n"] for r in counts.groupBy("_arc").agg(F.sum("_n").alias("_n")).collect()}  # a row per virtual node at most
     plan = allocate(per_arc, nodes, shards)
-    numbers = ", ".join(f"struct({a}, {b}L, {c}L, {d}, {e}L)" for a, b, c, d, e in plan) or "struct(-1, 0L, 0L, 0, 0L)"
-    layout = docs.sparkSession.sql(f"select inline(array({numbers})) as (_arc, _from, _to, _shard, _slot)")
+    parts = F.from_json(F.lit(json.dumps([dict(zip(("_arc", "_from", "_to", "_shard", "_slot"), x)) for x in plan])), "array<struct<_arc int, _from long, _to long, _shard int, _slot long>>")
+    layout = docs.sparkSession.range(1).select(F.inline(parts))
     at = F.row_number().over(Window.partitionBy("_arc", "_salt").orderBy("_id", "_crc", "_size")) - 1
     ranked = placed.withColumn("_row", at).join(offsets, ["_arc", "_salt"]).withColumn("_at", F.col("_row") + F.col("_before"))
     # The layout has at most two rows more than virtual nodes and shards together.
