@@ -220,8 +220,9 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     rows = docs.select(F.col(id_column).cast("long").alias("_id"), F.col(text_column).alias("_text"))
     drawn = durable(sketch(rows))
     live = drawn.where("_id is not null and _digest is not null")
-    texts = live.groupBy("_digest").agg(F.min("_id").alias("_rep"), F.count(F.lit(1)).alias("_copies"))
-    reps = durable(live.join(texts, "_digest").where("_id = _rep").dropDuplicates(["_digest"]).select("_id", F.explode("_keys").alias("_key")))
+    # Rows with the same words have the same keys, so each task sends one row per digest, however many copies there are.
+    texts = durable(live.groupBy("_digest").agg(F.min("_id").alias("_rep"), F.count(F.lit(1)).alias("_copies"), F.min("_keys").alias("_keys")))
+    reps = texts.select(F.col("_rep").alias("_id"), F.explode("_keys").alias("_key"))
     shared = reps.groupBy("_key").agg(F.count(F.lit(1)).alias("_m")).where("_m > 1")
     buckets = durable(reps.join(shared, "_key"))
     central = buckets.groupBy("_id").agg(F.sum("_m").alias("_full"))
@@ -236,6 +237,14 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     members = classed.join(several.select("_centre"), "_centre").join(sets, "_id")
     found = across(cells(members, "_centre", several, CELL), least)
     roots = durable(components(links.union(durable(found))))
-    out = drawn.select("_id", "_digest").join(texts, "_digest", "left").join(roots.select(F.col("node").alias("_rep"), "root"), "_rep", "left")
+    told = texts.drop("_keys").join(roots.select(F.col("node").alias("_rep"), "root"), "_rep", "left")
+    # Digests of a thousandth of the rows or more are a thousand at most: theirs are told by broadcast, so that the
+    # shuffle join has no hot key. Rows that nothing is told of aren't shuffled at all.
+    many = told.where(F.col("_copies") * 1000 >= drawn.count()).where("_copies > 1")
+    ids = drawn.select("_id", "_digest")
+    hot = ids.where("_id is not null").join(F.broadcast(many), "_digest")
+    rest = ids.where("_id is not null and _digest is not null").join(F.broadcast(many.select("_digest")), "_digest", "left_anti").join(told, "_digest", "left")
+    none = ids.where("_id is null or _digest is null")
+    out = hot.unionByName(rest).unionByName(none, allowMissingColumns=True)
     kind = F.coalesce("root", "_rep", "_id")
     return out.select(F.col("_id").alias(id_column), kind.alias("class_id"), F.coalesce("_copies", F.lit(1)).cast("long").alias("n_copies"), F.coalesce(F.col("_id") == kind, F.lit(True)).alias("kept"))
