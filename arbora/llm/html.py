@@ -7,6 +7,7 @@ each page is extracted again from the elements that its host's winning path name
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 from html import unescape
@@ -30,15 +31,21 @@ FENCE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}
 #: Elements and names that never hold the article.
 DROPPED = frozenset("head script style noscript template nav footer aside form button select textarea input iframe object svg canvas dialog menu title noembed noframes audio video".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert menu menubar form".split())
-NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|advertising|adsense|adbox|adslot|sponsor(?:ed|s)?|promo(?:tion|s)?|banner|cookies?|consent|gdpr|notices?|notification|alert|popup|modal|overlay"
-    r"|nav|navbar|navigation|menu|submenu|breadcrumbs?|pagination|pager|sidebar|side|aside|rail|widget|footer|foot|masthead|topbar|site-?header|page-?header|header|toolbar"
-    r"|comments?|commentlist|comment-?list|disqus|respond|replies|reactions|share|sharing|social|related|recommended|recommendations|newsletter|subscribe|subscription|signup|login|search|form|skip-?link|toc|tags|byline-?share|copyright|legal|disclaimer)"
-    r"(?:$|[\s_-]|\d)",
-    re.I,
+NAMES = frozenset(
+    "ad ads advert adverts advertisement advertising adsense adbox adslot sponsor sponsored sponsors promo promotion promos banner cookie cookies consent gdpr notice notices notification alert popup modal overlay"
+    " nav navbar navigation menu submenu breadcrumb breadcrumbs pagination pager sidebar side aside rail widget footer foot masthead topbar header toolbar"
+    " comment comments commentlist disqus respond replies reactions share sharing social related recommended recommendations newsletter subscribe subscription signup login search form skip toc tags copyright legal disclaimer".split()
 )
+#: What may stand beside such a word in a name that says no more than where, how, or how many.
+PLACES = frozenset(
+    "left right top bottom upper lower first last inner outer site page global main primary secondary mobile desktop sticky fixed box bar wrap wrapper container area block region zone column col panel section group"
+    " list links link buttons button btn icons posts post articles stories items item entry message messages body text title thread unit slot row js google the bg".split()
+)
+#: Of these, in the names of running text, too.
+INLINE = frozenset("ad ads advert advertisement advertising sponsor sponsored sponsors cookie cookies comment comments share copyright".split())
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
 #: Names that tell of a layout, not of what the element is.
+PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 LAYOUT = re.compile(r"(?:^|(?<=\s))(?:has|no|with|without|is|hide|show)[_-]\S*", re.I)
 #: Shares of the page's running text: above NAMED_SHARE an element may be a wrapper of the page whatever its name, with
 #: LEFT_SHARE of its own text outside there is nothing else, and an article of ARTICLE_SHARE is the page's.
@@ -57,9 +64,19 @@ class Node:
 
 
 def parse(html: str) -> Node:
-    """A tree of any text whatever; unclosed and stray tags are repaired roughly as browsers do."""
+    """A tree of any text whatever and of any depth; unclosed and stray tags are repaired roughly as browsers do."""
     root = node = Node("html", {}, None)
-    at, n, depth, lower = 0, len(html), 0, None
+    at, n, lower = 0, len(html), None
+    opened: dict[str, int] = {}  # open elements by tag, so that stray end tags cost nothing
+
+    def leave(last: Node) -> Node:
+        """Ends the open elements up to this one."""
+        here = node
+        while here is not last.parent:
+            opened[here.tag] -= 1
+            here = here.parent
+        return here
+
     while at < n:
         m = TOKEN.search(html, at)
         if m is None:
@@ -74,37 +91,33 @@ def parse(html: str) -> Node:
             continue
         tag = m[2].lower()
         if m[1]:
-            up = node
+            up = node if opened.get(tag) else None
             while up is not None and up.tag != tag:
                 if up.tag in BLOCK and tag not in BLOCK:  # an inline end tag doesn't close a block
                     up = None
                     break
                 up = up.parent
             if up is not None and up.parent is not None:
-                while node is not up:
-                    node, depth = node.parent, depth - 1
-                node, depth = node.parent, depth - 1
+                node = leave(up)
             continue
         attrs = {k.lower(): unescape(v.strip("\"'")) for k, v in ATTRIBUTE.findall(m[3])} if m[3] and m[3] != "/" else {}
         if tag == "html":
             root.attrs = root.attrs | attrs
             continue
-        if tag in BLOCK:
+        if tag in BLOCK and opened.get("p"):
             up = node
             while up.tag not in BLOCK and up.parent is not None:
                 up = up.parent
             if up.tag == "p":
-                while node is not up:
-                    node, depth = node.parent, depth - 1
-                node, depth = node.parent, depth - 1
-        if tag in ENDS:
+                node = leave(up)
+        if tag in ENDS and any(opened.get(x) for x in ENDS[tag]):
             up, last = node, None
             while up.parent is not None and up.tag not in FENCE[tag]:
                 if up.tag in ENDS[tag]:
                     last = up
                 up = up.parent
-            while last is not None and node is not last.parent:
-                node, depth = node.parent, depth - 1
+            if last is not None:
+                node = leave(last)
         new = Node(tag, attrs, node)
         node.children.append(new)
         if tag in RAW:
@@ -116,8 +129,8 @@ def parse(html: str) -> Node:
                 close = html.find(">", end)
                 at = n if close < 0 else close + 1
         elif tag not in VOID and not m[3].endswith("/") or tag in BLOCK and tag not in VOID:
-            if depth < 400:  # deeper nesting is read flat
-                node, depth = new, depth + 1
+            node = new
+            opened[tag] = opened.get(tag, 0) + 1
     return root
 
 
@@ -131,13 +144,23 @@ def boilerplate(node: Node) -> bool:
     return "hidden" in a or a.get("aria-hidden") == "true" or a.get("role", "").lower() in ROLES or bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", a.get("style", "")))
 
 
-def named(node: Node) -> bool:
-    """Whether an element's class or id names boilerplate."""
+def named(node: Node, inside: bool) -> bool:
+    """Whether an element's class or id names boilerplate: a word of NAMES, alone or beside words of PLACES only.
+
+    inside: the element is part of an article or main, where ids are what links within the page lead to.
+    """
     a = node.attrs
-    if not a or node.tag == "body":
+    if not a or node.tag == "body" or node.tag in ("article", "main", "b", "i", "em", "strong", "code", "mark"):
         return False
-    names = LAYOUT.sub("", f"{a.get('class', '')} {a.get('id', '')}")
-    return node.tag not in ("article", "main", "p", "b", "i", "em", "strong", "span", "a", "code", "mark") and bool(NAMES.search(names)) or node.tag in ("p", "span", "a") and bool(re.search(r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|cookies?|comments?|share|copyright)(?:$|[\s_-])", names, re.I))
+    names = a.get("class", "")
+    if not inside and node.tag != "section":
+        names += " " + a.get("id", "")
+    words = INLINE if node.tag in ("p", "span", "a") else NAMES
+    for name in LAYOUT.sub("", names).split():
+        parts = [x.lower() for x in PART.findall(name)]
+        if any(x in words for x in parts) and all(x in NAMES or x in PLACES for x in parts):
+            return True
+    return False
 
 
 def measure(order: list[Node]) -> None:
@@ -159,18 +182,18 @@ def walk(root: Node) -> list[Node]:
     A name doesn't drop an element that holds main or the page's own article, nor one with most of the page's running
     text that has the page's heading, too, or outside which there is no running text.
     """
-    order, todo, some = [], [root], False
+    order, todo, some = [], [(root, False, False)], False
+    part: set[int] = set()  # elements inside an article or main
     while todo:
-        x = todo.pop()
-        x.dropped = boilerplate(x) and x is not root
-        if x.tag == "header" and not x.dropped:  # a page's header; an article's own keeps its headings only
-            up = x.parent
-            while up is not None and up.tag not in ("article", "main", "section"):
-                up = up.parent
-            x.dropped = up is None
-        if not x.dropped:
-            order.append(x)
-            todo += [c for c in reversed(x.children) if not isinstance(c, str)]
+        x, section, inside = todo.pop()
+        x.dropped = (boilerplate(x) or x.tag == "header" and not section) and x is not root  # an article's own header belongs to it
+        if x.dropped:
+            continue
+        order.append(x)
+        if inside:
+            part.add(id(x))
+        section, inside = section or x.tag in ("article", "main", "section"), inside or x.tag in ("article", "main")
+        todo += [(c, section, inside) for c in reversed(x.children) if not isinstance(c, str)]
     measure(order)
     total = order[0].text - order[0].links
     articles = [x for x in order if x.tag == "article" and x.text - x.links >= ARTICLE_SHARE * total]
@@ -193,7 +216,7 @@ def walk(root: Node) -> list[Node]:
     for x in order:
         if x.parent is not None and id(x.parent) in gone:
             gone.add(id(x))
-        elif x is not root and id(x) not in holds and named(x):
+        elif x is not root and id(x) not in holds and named(x, id(x) in part):
             own = x.text - x.links
             left = total - beside - (own - headed[id(x)])
             if own <= NAMED_SHARE * total or id(x) not in titled and left > LEFT_SHARE * own:
@@ -211,41 +234,43 @@ def step(node: Node) -> str:
     return ".".join([node.tag, *names])
 
 
-def path(node: Node) -> str:
-    out = []
-    while node is not None:
-        out.append(step(node))
+def path(node: Node, known: dict[int, str]) -> str:
+    """The generalised path: a digest of all steps from the root, and the last one. known: those of elements already asked for."""
+    way = []
+    while node is not None and id(node) not in known:
+        way.append(node)
         node = node.parent
-    return "/".join(reversed(out))
+    so_far = known[id(node)] if node is not None else ""
+    for x in reversed(way):
+        own = step(x)
+        so_far = known[id(x)] = f"{hashlib.md5(f'{so_far}/{own}'.encode('utf-8', 'surrogatepass')).hexdigest()}/{own}"
+    return so_far
 
 
 def containers(order: list[Node]) -> list[tuple[Node, float]]:
     """Containers with their scores: those on the way down to where the running text divides."""
     total = max(1, order[0].text - order[0].links)
     out = [(order[0], 0.05)]
+    depth, beside = {id(order[0]): 0}, {id(order[0]): False}  # beside: a heading stands beside it or what it is in, below the body
+    headed = {id(x.parent) for x in order if x.tag in ("h1", "h2") and x.text}
     for x in order[1:]:
+        up = x.parent
+        depth[id(x)] = depth[id(up)] + 1
+        beside[id(x)] = up.tag != "body" and (beside[id(up)] or id(up) in headed)
         if x.tag not in CONTAINER:
             continue
         share = (x.text - x.links) / total
         if share < 0.4:
             continue
         score = share * (1 - x.links / max(1, x.text)) * (0.5 if x.tag == "body" else 1)
-        up = x.parent
-        while up is not None and up.tag != "body":  # a heading beside it belongs to the article
-            if any(not isinstance(c, str) and not c.dropped and c.tag in ("h1", "h2") and c.text for c in up.children):
-                score *= 0.6
-                break
-            up = up.parent
+        if beside[id(x)]:  # the heading belongs to the article
+            score *= 0.6
         if x.tag == "article" or x.attrs.get("itemprop") == "articleBody":
             score *= 1.6
         elif x.tag == "main" or x.attrs.get("role") == "main":
             score *= 1.4
         elif x.tag == "div" or x.tag == "section":
-            deep = 0
-            up = x.parent
-            while up is not None:
-                deep, up = deep + 1, up.parent
-            score *= 1 + 0.04 * min(deep, 5)
+            score *= 1 + 0.04 * min(depth[id(x)], 5)
         out.append((x, score))
     return out
 
@@ -275,10 +300,7 @@ def blocks(top: Node) -> list[str]:
                 todo.append(None)
             elif x.tag in ("br", "wbr", "img"):
                 held.append(" " if x.tag == "br" else "")
-            inside = x.children
-            if x.tag == "header":
-                inside = [c for c in inside if not isinstance(c, str) and (c.tag in HEADING or c.tag in ("hgroup", "div"))]
-            todo += reversed(inside)
+            todo += reversed(x.children)
     end()
     return out
 
@@ -286,8 +308,9 @@ def blocks(top: Node) -> list[str]:
 def ballots(html: str) -> list[tuple[str, float]]:
     """The votes of a page: each path once, with its best score."""
     got: dict[str, float] = {}
+    known: dict[int, str] = {}
     for x, score in containers(walk(parse(html))):
-        p = path(x)
+        p = path(x, known)
         got[p] = max(score, got.get(p, 0.0))
     return list(got.items())
 
@@ -297,20 +320,12 @@ def extract(html: str, winner: str | None) -> str:
     order = walk(parse(html))
     if order[0].text == 0:
         return ""
-    last = winner.rpartition("/")[2] if winner else None
-    found = [x for x in order if last is not None and step(x) == last and path(x) == winner and x.text]
+    last = winner.partition("/")[2] if winner else None
+    known: dict[int, str] = {}
+    found = [x for x in order if last is not None and x.text and step(x) == last and path(x, known) == winner]
     if not found:
         found = [max(containers(order), key=lambda y: y[1])[0]]
-    inside: set[int] = set()
-    for x in found:
-        up = x.parent
-        while up is not None:
-            if id(up) in inside:
-                break
-            up = up.parent
-        else:
-            inside.add(id(x))
-    return "\n".join(t for x in found if id(x) in inside for t in blocks(x))
+    return "\n".join(t for x in found for t in blocks(x))  # equal paths are equally deep, so none is inside another
 
 
 def main_text(pages: DataFrame, id_column: str = "page_id", url_column: str = "url", html_column: str = "html") -> DataFrame:

@@ -138,3 +138,45 @@ def test_main_text(spark):
 @pytest.mark.parametrize("bad", ["<", "<p", "<p><div></p></span>", "<a href='x", "<!-- x", "<script>a", "<![CDATA[x", "<" * 500, "<div>" * 3000 + "deep", "&#99999999; &bogus; &amp", "<p>퟿</p>"])
 def test_any_text_is_a_page(bad):
     assert isinstance(html.extract(bad, None), str)
+
+
+LONG = "The ferry was late, and the crew told us at length why it had been held up by the tide and the wind. " * 3
+
+
+@pytest.mark.parametrize(
+    "body, want",
+    [
+        (f"<div class='content-side'><h1>Ferry</h1><p>{LONG}</p></div><div class='x'><p>x</p></div>", ["Ferry", LONG.strip()]),
+        (f"<article><header><h1>Ferry</h1><p>The lead.</p></header><p>{LONG}</p></article>", ["Ferry", "The lead.", LONG.strip()]),
+        (f"<article><h1>Ferry</h1><div class='promotion-history'><p>Up twice.</p></div><section id='legal'><p>Laws.</p></section><p>{LONG}</p></article>", ["Ferry", "Up twice.", "Laws.", LONG.strip()]),
+        (f"<article><h1>Ferry</h1><div class='promo'><p>Buy!</p></div><div class='relatedPosts'><p>More</p></div><p>{LONG}</p><p class='ad'>Buy</p><div class='share-buttons'>Tell</div></article><div class='comment-list'><p>{LONG}</p></div>", ["Ferry", LONG.strip()]),
+        ("<div>" * 3000 + f"<p>{LONG}</p>" + "</div>" * 3000 + "<footer>Us</footer>", [LONG.strip()]),
+    ],
+)
+def test_names_and_depth_drop_no_article_text(body, want):
+    page = f"<html><body>{body}</body></html>"
+    assert html.extract(page, None).split("\n") == want
+    votes = html.ballots(page)
+    assert html.extract(page, max(votes, key=lambda v: v[1])[0]).split("\n") == want
+
+
+def test_pages_of_several_hosts_give_what_they_were_made_of(spark):
+    """Generated pages: each host has a template, whose parts and article are known."""
+    r = random.Random(9)
+    say = lambda n: " ".join("".join(r.choice("abcdefgh") for _ in range(r.randint(2, 8))) for _ in range(n))
+    templates = [
+        "<body><div class='top-nav'>{m}</div><div id='c{i}'><h1>{t}</h1><div class='text'>{p}</div></div><div class='footer'>{f}</div></body>",
+        "<body><header>{f}</header><main><article>{p}</article><aside>{m}</aside></main><footer>{f}</footer></body>",
+        "<body><table><tr><td class='menu'>{m}<td class='body'>{p}</table><div class='cookie-bar'>{f}</div></body>",
+        "<body><div class='a'><div class='b post-{i}'>{p}<div class='comments'><p>{f}</p></div></div></div></body>",
+    ]
+    pages, want = [], {}
+    for k, template in enumerate(templates):
+        menu, foot = "".join(f"<a href=/>{say(1)}</a> " for _ in range(8)), say(12)
+        for i in range(12):
+            parts, title = [say(r.randint(5, 60)) for _ in range(r.randint(1, 9))], say(3)
+            n = 100 * k + i
+            pages.append((n, f"http://h{k}.example/{i}", template.format(m=menu, f=foot, t=title, i=i, p="".join(f"<p>{x}</p>" for x in parts))))
+            want[n] = "\n".join(parts if k else [title, *parts])
+    got = {x["page_id"]: x["text"] for x in html.main_text(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert got == want
