@@ -13,9 +13,11 @@ from collections.abc import Iterator
 from html import unescape
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from arbora.llm.common import durable
+
 # HTML's elements without content, with raw text, that begin a block, and that end an open paragraph.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
@@ -333,8 +335,8 @@ def main_text(pages: DataFrame, id_column: str = "page_id", url_column: str = "u
 
     A null or empty html, or one without running text, gives an empty text. Pages with a null url, or one without a
     host, share one host's votes. Of paths with equal votes the one that sorts first wins. Repeated rows give
-    repeated rows, an empty table an empty one. Votes are added per host and path; a host with any share of the pages
-    is joined by Spark's skew-splitting join.
+    repeated rows, an empty table an empty one. Ids may be null and of any type. Votes are added per host and path, each
+    task sending one row for both.
     """
     rows = pages.select(
         F.col(id_column).alias("_id"), F.col(url_column).alias("_url"), F.coalesce(F.col(html_column), F.lit("")).alias("_html"),
@@ -351,6 +353,11 @@ def main_text(pages: DataFrame, id_column: str = "page_id", url_column: str = "u
 
     votes = rows.select("_host", "_html").mapInArrow(vote, "_host string, _path string, _votes long").groupBy("_host", "_path").agg(F.sum("_votes").alias("_votes"))
     best = votes.groupBy("_host").agg(F.min(F.struct((-F.col("_votes")).alias("v"), F.col("_path").alias("p"))).alias("_best")).select("_host", F.col("_best.p").alias("_winner"))
+    best = durable(best.join(rows.groupBy("_host").agg(F.count(F.lit(1)).alias("_pages")), "_host"))
+    # Hosts with a thousandth of the pages or more are a thousand at most: their winners are told by broadcast, and the
+    # pages of the rest, none of them a hot key, are joined by shuffle.
+    many = F.broadcast(best.where(F.col("_pages") * 1000 >= (best.agg(F.sum("_pages")).first()[0] or 0)))
+    rest = rows.join(many.select("_host"), "_host", "left_anti").join(best.hint("shuffle_hash"), "_host", "left")
 
     def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -358,5 +365,5 @@ def main_text(pages: DataFrame, id_column: str = "page_id", url_column: str = "u
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["_id", "_url", "_text", "_n"])
 
     kind = pages.schema[id_column].dataType.simpleString()
-    got = rows.join(best, "_host", "left").select("_id", "_url", "_html", "_winner").mapInArrow(again, f"_id {kind}, _url string, _text string, _n long")
+    got = rows.join(many, "_host").unionByName(rest).select("_id", "_url", "_html", "_winner").mapInArrow(again, f"_id {kind}, _url string, _text string, _n long")
     return got.select(F.col("_id").alias(id_column), F.col("_url").alias(url_column), F.col("_text").alias("text"), F.col("_n").alias("n_chars"))

@@ -17,10 +17,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField, StructType
 
 #: Bins, clusters per language, labelled rows per language that the centroids are fitted to (a bound in expectation:
-#: rows are taken by a hash of their id), letters of a text up to which its distance says nothing.
-BINS, CLUSTERS, SAMPLE, SLICE, SHORT = 4096, 4, 800, 1 << 20, 40
-#: The limit is this share of the lowest similarity in the sample.
-MARGIN = 0.5
+#: rows are taken by a hash of their id), letters read at once.
+BINS, CLUSTERS, SAMPLE, SLICE = 4096, 4, 800, 1 << 20
+#: A text of n letters is as similar to its centroid as the root of n / (n + SHORT) of a long one: fewer letters, fewer
+#: n-grams to share. The limit is this share (MARGIN) of the similarity, made up for length, that all but FEW of the sample exceed.
+SHORT, MARGIN, FEW = 40, 0.4, 0.002
 
 
 def letters() -> np.ndarray:
@@ -96,6 +97,11 @@ def clusters(v: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
     return c
 
 
+def as_long(similarity, letters):
+    """What similarity a text of so many letters would have if it were long."""
+    return similarity * np.sqrt((letters + SHORT) / letters)
+
+
 def fit(docs: DataFrame, id_column: str, text_column: str, lang_column: str, train: Column) -> dict:
     """The classifier: languages, idf, centroids with their languages, and each language's lowest usual similarity."""
     rows = docs.where(train & F.col(text_column).isNotNull() & F.col(lang_column).isNotNull()).select(
@@ -129,8 +135,7 @@ def fit(docs: DataFrame, id_column: str, text_column: str, lang_column: str, tra
         c = clusters(v, CLUSTERS)
         cs.append(c)
         owner += [k] * len(c)
-        usual = (v @ c.T).max(axis=1)[size > SHORT]
-        floor.append(MARGIN * float(usual.min()) if len(usual) else 0.0)
+        floor.append(MARGIN * float(np.quantile(as_long((v @ c.T).max(axis=1), size), FEW)))
     return {"langs": langs, "idf": idf, "centroids": np.concatenate(cs) if cs else np.zeros((0, BINS)), "owner": np.array(owner, np.int64), "floor": np.array(floor)}
 
 
@@ -158,7 +163,7 @@ def predict(docs: DataFrame, model: dict, id_column: str, text_column: str) -> D
                     s = float(min(1.0, max(0.0, near[j, best[j]])))
                     langs.append(m["langs"][own])
                     scores.append(s)
-                    out.append(n > SHORT and s < m["floor"][own])
+                    out.append(bool(as_long(s, n) < m["floor"][own]))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(out, pa.bool_())], ["_id", "lang_pred", "score", "rejected"])
 
     rows = docs.select(F.col(id_column).alias("_id"), F.col(text_column).alias("_text"))
@@ -171,8 +176,8 @@ def identify(docs: DataFrame, train: Column, id_column: str = "doc_id", text_col
 
     A null text, or one without a letter, is `und` with score 0 and is rejected, and so is every row if there is
     nothing to learn from. Ties go to the language that sorts first. Other columns, whatever their names, are left
-    out; repeated rows give repeated rows, an empty table an empty one. A text of more than SHORT letters is rejected
-    if it is farther from every centroid than anything usual in its language.
+    out; repeated rows give repeated rows, an empty table an empty one. Ids may be null and of any type. A text is
+    rejected if it is, for its length, farther from every centroid than what is usual in its language.
     """
     got = predict(docs, fit(docs, id_column, text_column, lang_column, train), id_column, text_column)
     return got.withColumnRenamed("_id", id_column)

@@ -240,17 +240,6 @@ def test_scores(spark):
     assert lmscore.score(df, F.lit(False)).count() == len(rows)
 
 
-def test_spelling_is_a_probability():
-    """Over all words of two letters and every ending, a spelling model adds up to at most 1."""
-    tree = lmscore.Tree(np.bincount(np.frombuffer(b"abab c", np.uint8), minlength=256))
-    tables = np.zeros((len(lmscore.ORDERS), 2, 1 << lmscore.SLOT_BITS), np.int64)
-    lmscore.add_counts(tables, [b"ab", b"ba", b"b"], tree)
-    m = lmscore.Mixer(tree, tables)
-    m.learn([b"ab", b"ba", b"b"])
-    every = [bytes([x]) for x in range(256) if x != 32]
-    assert abs((10 ** m.log10(every)).sum() + (10 ** m.log10([bytes([a, b]) for a in range(97, 123) for b in range(97, 123)])).sum()) <= 1
-
-
 def test_shards(spark):
     r = random.Random(1)
     rows = [(i, r.choice(["same", f"t{i}", None, "é"])) for i in range(1003)] + [(None, "x"), (5, "y"), (5, "y")]

@@ -104,14 +104,3 @@ def test_scores_tell_running_text_from_shuffled(spark):
     fluent, mixed = (sum(got[k + i]["score"] for i in range(20)) for k in (1000, 2000))
     assert fluent > 0.6 * mixed and fluent > 0.6 * sum(got[1000 + i]["base_score"] for i in range(20))
     print("fluent, shuffled, unigram:", fluent, mixed, sum(got[1000 + i]["base_score"] for i in range(20)))
-
-
-def test_pairs_leave_a_probability():
-    """Behind a word, pairs and what is left for new ones add up to 1 if words do; the weight fits the pairs seen once."""
-    left = np.array([1000 * x / (1000 + x) for x in lmscore.WEIGHTS])
-    w = lmscore.fitting(left, 200)
-    assert abs(1000 * w / (1000 + w) - 200) < 10
-    h = np.array([11, 12, 11, 12], np.uint64)
-    one, two = lmscore.pairs(h, np.array([4])), lmscore.pairs(h, np.array([2, 0, 2]))
-    assert len(one) == 5 and len(two) == 7 and one[1] == one[3] == two[1] == two[5] and one[0] == two[0] == two[4] and one[2] not in two
-    assert (one >= lmscore.PAIR).all() and (lmscore.segments(h, np.array([4]))[1] < lmscore.PAIR).all()
