@@ -314,13 +314,13 @@ def avg(v: V) -> V:
 
 @fn("min")
 def min_(v: V, c: V | None = None) -> V:
-    out = F.array_min(seq(v))
+    out = F.array_min(seq(v)) if c is None else F.reduce(seq(v), F.get(seq(v), 0), lambda a, x: F.when(collated(x, c) < collated(a, c), x).otherwise(a))
     return V(F.when(F.exists(seq(v), F.isnan), F.lit(math.nan)).otherwise(out) if v.type == "double" else out, v.type)
 
 
 @fn("max")
 def max_(v: V, c: V | None = None) -> V:
-    return V(F.array_max(seq(v)), v.type)
+    return V(F.array_max(seq(v)) if c is None else F.reduce(seq(v), F.get(seq(v), 0), lambda a, x: F.when(collated(x, c) > collated(a, c), x).otherwise(a)), v.type)
 
 
 # booleans -----------------------------------------------------------------------------------------------------
@@ -337,7 +337,7 @@ fn("foot")(lambda v: v.of(F.try_element_at(seq(v), F.lit(-1)), many=False))
 fn("tail")(lambda v: items(v, F.slice(seq(v), F.lit(2), F.greatest(F.size(seq(v)) - 1, F.lit(0)))))
 fn("trunk")(lambda v: items(v, F.slice(seq(v), F.lit(1), F.greatest(F.size(seq(v)) - 1, F.lit(0)))))
 fn("reverse")(lambda v: items(v, F.reverse(seq(v))))
-fn("distinct-values")(lambda v, c=None: items(v, F.array_distinct(seq(v))))
+fn("distinct-values")(lambda v, c=None: items(v, F.array_distinct(seq(v)) if c is None else F.filter(seq(v), lambda x, i: ~F.exists(F.slice(seq(v), F.lit(1), i), lambda y: collated(y, c) == collated(x, c)))))
 fn("distinct-ordered")(lambda v: items(v, F.array_distinct(seq(v))))
 fn("identity", "unordered", "pin", "trace")(lambda v, *rest: v)
 fn("void")(lambda v=None: V(F.array().cast("array<string>"), "string", many=True))
@@ -712,7 +712,7 @@ def format_number(v: V, picture: V, *rest: V) -> V:
 # JSON, URIs, errors, environment -------------------------------------------------------------------------------
 fn("parse-json")(lambda v, o=None: V(F.parse_json(one(v)), "variant"))
 fn("json-path")(lambda v, p, k=None: string(F.get_json_object(one(v), "$." + str(fixed(p, "a path")))))
-fn("serialize")(lambda v, p=None: string(text(v) if v.type in SPARK and not v.many else F.to_json(v.col)))
+fn("serialize")(lambda v, p=None: string(v.col) if v.type in ("element", "markup") and not v.many else string(text(v) if v.type in SPARK and not v.many else F.to_json(v.col)))
 fn("resolve-uri")(lambda r, b: string(F.udf(lambda x, y: None if x is None else urljoin(y or "", x), "string")(one(r), one(b))) if r.literal is None or b.literal is None else string(F.lit(urljoin(str(b.literal), str(r.literal)))))
 fn("environment-variable")(lambda v: string(F.lit(None).cast("string")))
 fn("available-environment-variables")(lambda: V(F.array().cast("array<string>"), "string", many=True))
@@ -756,7 +756,69 @@ def parse_ietf_date(v: V) -> V:
 
 
 fn("adjust-date-to-timezone", "adjust-time-to-timezone")(lambda v, tz=None: v)
-LIBRARY["ft:thesaurus-lookup"] = lambda v, *rest: V(F.array(words(v)), "string", many=True)
+#: Each of these types is a list of the other's values.
+for name in ("NMTOKENS", "IDREFS", "ENTITIES"):
+    LIBRARY[f"xs:{name}"] = tokenize
+LIBRARY["xs:QName"] = lambda v: LIBRARY["fn:QName"](literal_string(""), v)
+LIBRARY["xs:numeric"] = lambda v: v if v.type in NUMERIC else V(number(v), "double")
+LIBRARY["xs:error"] = lambda v: V(F.when(one(v).isNotNull(), F.raise_error(F.lit("[FORG0001] nothing can be cast to xs:error"))), "string")
+
+
+def literal_string(s: str) -> V:
+    return V(F.lit(s), "string", literal=s)
+
+
+@fn("xs:time")
+def time_(v: V) -> V:
+    """Times are strings of hours, minutes, seconds and a zone, in the form that all of them have."""
+    c = F.trim(text(v))
+    ok = c.rlike(r"^(([01]\d|2[0-3]):[0-5]\d:[0-5]\d(\.\d+)?|24:00:00)(Z|[+-](0\d|1[0-4]):[0-5]\d)?$")
+    return string(F.when(c.isNull() | ok, F.replace(c, F.lit("24:00:00"), F.lit("00:00:00"))).otherwise(F.raise_error(F.concat(F.lit("[FORG0001] cannot cast to xs:time: "), c)).cast("string")))
+
+
+@fn("iterate-while")
+def iterate_while(v: V, step: V, test: V) -> V:
+    """Steps while the test holds, 10,000 times at most: a hundred rounds of a hundred, of which a finished one does nothing."""
+    if v.many:
+        raise QueryError("XPTY0004", "iterate-while starts from one item")
+    kind = result(step, v).type
+    target = SPARK[kind]
+    own = lambda c: V(c, kind)
+    goes = lambda c: ebv(test.call(own(c)))
+    hundred = F.sequence(F.lit(1), F.lit(100))
+    inner = lambda a: F.aggregate(F.when(goes(a), hundred).otherwise(F.array().cast("array<int>")), a, lambda b, _: F.when(goes(b), one(step.call(own(b))).cast(target)).otherwise(b))
+    return V(F.aggregate(hundred, one(v).cast(target), lambda a, _: inner(a)), kind)
+
+
+# The headwords of the built-in thesaurus and their synonyms.
+THESAURUS = {
+    "big": "large huge enormous vast",
+    "small": "little tiny minute compact",
+    "fast": "quick rapid swift speedy",
+    "slow": "gradual unhurried leisurely",
+    "good": "excellent fine great superior",
+    "bad": "poor inferior terrible awful",
+    "happy": "glad joyful pleased content",
+    "sad": "unhappy sorrowful melancholy gloomy",
+    "begin": "start commence initiate",
+    "end": "finish conclude terminate complete",
+    "create": "make build construct produce",
+    "delete": "remove erase destroy eliminate",
+    "find": "search locate discover detect",
+    "change": "modify alter adjust transform",
+}
+
+
+@fn("ft:thesaurus-lookup")
+def thesaurus_lookup(v: V, relationship: V | None = None) -> V:
+    """A headword's synonyms; of a synonym its first headword and that one's other synonyms; else nothing."""
+    known = {w: own.split() for w, own in THESAURUS.items()}
+    for head, own in list(known.items()):
+        for w in own:
+            known.setdefault(w, [head, *(x for x in own if x != w)])
+    table = F.create_map(*[x for w, own in known.items() for x in (F.lit(w), F.array(*map(F.lit, own)))])
+    return V(F.coalesce(F.try_element_at(table, F.lower(words(v))), F.array().cast("array<string>")), "string", many=True)
+
 
 # constructors -------------------------------------------------------------------------------------------------
 INTEGERS = ("integer", "long", "int", "short", "byte", "nonNegativeInteger", "positiveInteger", "nonPositiveInteger", "negativeInteger", "unsignedLong", "unsignedInt", "unsignedShort", "unsignedByte")

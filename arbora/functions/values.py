@@ -117,11 +117,39 @@ def text(v: V) -> Column:
         return F.regexp_replace(F.regexp_replace(c.cast("string"), r"(\.\d*?)0+$", "$1"), r"\.$", "")
     if v.type == "dateTime":
         return F.concat(F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss"), F.regexp_replace(F.date_format(c, ".SSSSSS"), r"\.?0+$", ""))
+    if v.type == "hexBinary":
+        return F.hex(c)
+    if v.type == "base64Binary":
+        return F.base64(c)
+    if v.type in ("dayTimeDuration", "yearMonthDuration"):
+        units = [("DAY", "D"), ("HOUR", "H"), ("MINUTE", "M"), ("SECOND", "S")] if v.type[0] == "d" else [("YEAR", "Y"), ("MONTH", "M")]
+        n = {u: F.abs(F.extract(F.lit(u), c)) for u, _ in units}
+        part = {u: F.when(x != 0, F.concat(F.regexp_replace(F.regexp_replace(x.cast("string"), r"(\.\d*?)0+$", "$1"), r"\.$", ""), F.lit(sign))).otherwise("") for (u, sign), x in zip(units, n.values())}
+        whole = F.concat(*[part[u] for u, _ in units if u in ("DAY", "YEAR") or v.type[0] == "y"])
+        if v.type[0] == "d":
+            time = F.concat(part["HOUR"], part["MINUTE"], part["SECOND"])
+            whole = F.concat(whole, F.when(time != "", F.concat(F.lit("T"), time)).otherwise(""))
+        negative = F.least(*[F.extract(F.lit(u), c).cast("double") for u, _ in units]) < 0
+        return F.when(c.isNull(), F.lit(None)).otherwise(F.concat(F.when(negative, "-").otherwise(""), F.lit("P"), F.when(whole == "", "T0S" if v.type[0] == "d" else "0M").otherwise(whole)))
+    if v.type == "element":
+        return unescaped(F.regexp_replace(c, "<[^>]*>", ""))
     if v.type in ("record", "map", "array", "function"):
         raise QueryError("FOTY0013" if v.type != "array" else "XPTY0004", f"a {v.type} has no string value")
     return c.cast("string")
 
 
+def escaped(c: Column, attribute: bool = False) -> Column:
+    for sign, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), *([('"', "&quot;")] if attribute else [])):
+        c = F.replace(c, F.lit(sign), F.lit(name))
+    return c
+
+
+def unescaped(c: Column) -> Column:
+    for sign, name in (("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("&", "&amp;")):
+        c = F.replace(c, F.lit(name), F.lit(sign))
+    return c
+
+
 def words(v: V) -> Column:
     """A string argument: absent is empty."""
     return F.coalesce(text(v), F.lit("")) if v.literal is None else v.col

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from arbora.functions.library import LIBRARY
 from arbora.functions.values import V, one, words
 from arbora.plans.parser import QueryError
 
@@ -181,6 +182,8 @@ def function(name: str, args: list[V]) -> V:
         return V(F.get(stemmed(F.array(F.lower(words(args[0])))), 0) if english else F.lower(words(args[0])), "string")
     if name == "ft:is-stop-word":
         return V(F.size(tokens(words(args[0]), stop=False)) == 0, "boolean")
+    if name in LIBRARY:
+        return LIBRARY[name](*args)
     raise QueryError("XPST0017", f"unknown function {name}")
 
 
@@ -190,6 +193,22 @@ def postings(docs: DataFrame, id_column: str, text_column: str, stop: bool = Fal
     return flat.groupBy("term", "doc").agg(F.count(F.lit(1)).alias("tf"), F.array_sort(F.collect_list("pos")).alias("positions"))
 
 
+def bm25_of(docs: DataFrame, id_column: str, text_column: str, terms: list[str], k1: float = K1, b: float = B) -> DataFrame:
+    """(doc, score) of the documents that hold a term, read from their texts: nothing but a row of sums is shuffled."""
+    own = tokens(F.coalesce(F.col(text_column), F.lit("")), False)
+    times = lambda t, term: F.size(F.filter(t, lambda w: w == term))
+    counted = F.transform(F.array(own), lambda t: F.struct(F.size(t).alias("length"), *[times(t, x).alias(f"t{i}") for i, x in enumerate(terms)]))
+    rows = docs.select(F.col(id_column).alias("doc"), F.get(counted, 0).alias("c")).select("doc", "c.*").where("length > 0")
+    facts = rows.agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("mean"), *[F.count_if(F.col(f"t{i}") > 0).alias(f"df{i}") for i in range(len(terms))])
+
+    def score(i: int) -> Column:
+        tf, df = F.col(f"t{i}"), F.col(f"df{i}")
+        return F.ln((F.col("n") - df + 0.5) / (df + 0.5) + 1) * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("length") / F.col("mean")))
+
+    hits = rows.where(reduce(lambda x, y: x | y, [F.col(f"t{i}") > 0 for i in range(len(terms))]))
+    return hits.crossJoin(F.broadcast(facts)).select("doc", sum((score(i) for i in range(1, len(terms))), score(0)).alias("score"))
+
+
 def bm25(index: DataFrame, terms: list[str], k1: float = K1, b: float = B, documents: int | None = None) -> DataFrame:
     """(doc, score) of the documents that hold a term; documents: their number, if some are empty."""
     lengths = index.groupBy("doc").agg(F.sum("tf").alias("length"))

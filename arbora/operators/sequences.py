@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -11,17 +12,31 @@ from pyspark.sql import functions as F
 
 
 def durable(df: DataFrame) -> DataFrame:
-    """Writes df to the shared checkpoint folder and reads it back, so that loops keep short plans and survive lost executors."""
+    """Writes df to the shared checkpoint folder and reads it back, so that loops keep short plans and survive lost executors.
+
+    The files go when the driver's process ends.
+    """
     spark = df.sparkSession
-    place = spark.conf.get("spark.checkpoint.dir", None)
+    place = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not place:
+        if spark.sparkContext.master.partition("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
         place = "file://" + tempfile.mkdtemp(prefix="arbora-")
         spark.conf.set("spark.checkpoint.dir", place)
     path = f"{place.rstrip('/')}/arbora-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    atexit.register(removed, spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def removed(spark, path: str) -> None:
+    try:
+        place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+    except Exception:  # the JVM has gone; the folder is the cluster's to clear
+        pass
+
+
 def transitive_closure(seeds: DataFrame, edges: DataFrame, key: str = "item") -> DataFrame:
     """fn:transitive-closure: seeds and all they reach over edges (src, dst), by semi-naive iteration: only new items step."""
     every = front = durable(seeds.select(F.col(key).alias("item")).distinct())
@@ -43,8 +58,8 @@ def iterate_while(seed, step: Callable, test: Callable, limit: int = 10_000):
 
 
 def numbered(df: DataFrame, order: list[Column], name: str = "pos") -> DataFrame:
-    """Places from 1 in an order, without one task that sorts all: rows are sorted in ranges, and ranges counted."""
-    sorted_ = durable(df.orderBy(*order).withColumn("#m", F.monotonically_increasing_id()))
+    """Places from 1 in an order (none: as the rows come), without one task that sorts all: rows are sorted in ranges, and ranges counted."""
+    sorted_ = durable((df.orderBy(*order) if order else df).withColumn("#m", F.monotonically_increasing_id()))
     part = F.shiftright("#m", 33)
     sizes = sorted_.groupBy(part.alias("#p")).agg(F.count(F.lit(1)).alias("#n"))
     other = sizes.select(F.col("#p").alias("#q"), F.col("#n").alias("#k"))

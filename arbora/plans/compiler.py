@@ -16,9 +16,9 @@ from decimal import Decimal
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from arbora.functions.library import LIBRARY, cast
-from arbora.functions.values import NUMERIC, SPARK, V, ebv, from_type, literal, number, one, seq, text, wider, words
-from arbora.operators import fulltext, windows
+from arbora.functions.library import LIBRARY, cast, collated
+from arbora.functions.values import NUMERIC, SPARK, V, ebv, escaped, from_type, literal, number, one, seq, text, wider, words
+from arbora.operators import fulltext, sequences, windows
 from arbora.operators.paths import COLUMNS, Paths
 from arbora.plans.parser import QueryError, parse
 from arbora.sources import readers
@@ -167,7 +167,10 @@ class Compiler:
                 df = df.unionByName(p)
             return self.reread(df)
         if kind == "binary":
-            left, right = (self.finish(self.rows(x, env)) for x in node[2:])
+            left, right = (self.rows(x, env) for x in node[2:])
+            if left.item.type == right.item.type == "node" and node[1] != "otherwise":
+                return self.node_sets(node[1], left, right)
+            left, right = self.finish(left), self.finish(right)
             if node[1] == "otherwise":
                 return self.reread(left.unionByName(right.join(left.limit(1).select(F.lit(1).alias("#some")), how="left_anti")))
             how = {"union": lambda a, b: a.unionByName(b).distinct(), "|": lambda a, b: a.unionByName(b).distinct(), "intersect": lambda a, b: a.intersect(b), "except": lambda a, b: a.subtract(b)}
@@ -209,6 +212,18 @@ class Compiler:
             raise QueryError("XPTY0004", "reverse a sorted collection by its order by")
         raise QueryError("XPST0017", f"unknown function {name}")
 
+    def node_sets(self, how: str, left: Rows, right: Rows) -> Rows:
+        """Sets of nodes go by identity, not by value, and come in document order."""
+        if left.item.member != right.item.member:
+            raise QueryError("XPTY0004", "the nodes are of different documents")
+        a, b = (x.df.select(*[x.item.fields[c].col.alias(c) for c in COLUMNS]) for x in (left, right))
+        key = ["doc_id", "pre"]
+        if how in ("union", "|"):
+            a = a.unionByName(b)
+        else:
+            a = a.join(b.select(*key), key, "left_semi" if how == "intersect" else "left_anti")
+        return self.node_rows(a.dropDuplicates(key), left.item.member)
+
     def start(self, node) -> str | None:
         """The name of the documents that a path starts from, or the variable that it does, as $name."""
         while node[0] == "step":
@@ -351,8 +366,7 @@ class Compiler:
             s.env[name] = rows.item
             if at:
                 own = self.fresh(at)
-                order = rows.order or [F.monotonically_increasing_id()]
-                s.df = s.df.withColumn(own, F.row_number().over(Window.orderBy(*order)).cast("bigint"))
+                s.df = sequences.numbered(s.df, rows.order, own)
                 s.env[at] = V(F.col(own), "integer")
             return
         if s.df is None:
@@ -426,8 +440,10 @@ class Compiler:
 
     def clause_group(self, c, s: Stream) -> None:
         keys = []
-        for name, source in c[1]:
+        for name, source, collation in c[1]:
             v = self.expr(source, s.env) if source is not None else s.env[name]
+            if collation:
+                v = V(collated(text(v), literal(collation, "string")), "string")
             keys.append((name, v, self.fresh(name)))
         s.flush()
         for _, v, own in keys:
@@ -440,29 +456,33 @@ class Compiler:
 
     def sort_keys(self, keys) -> list[Column]:
         out = []
-        for v, down, greatest in keys:
-            c = one(v)
+        for v, down, greatest, *collation in keys:
+            c = collated(text(v), literal(collation[0], "string")) if collation and collation[0] else one(v)
             out.append(c.desc_nulls_first() if down and greatest else c.desc_nulls_last() if down else c.asc_nulls_last() if greatest else c.asc_nulls_first())
         return out
 
     def clause_order(self, c, s: Stream) -> None:
-        order = self.sort_keys([(self.expr(k, s.env), down, greatest) for k, down, greatest in c[1]])
+        order = self.sort_keys([(self.expr(k, s.env), down, greatest, collation) for k, down, greatest, collation in c[1]])
         s.apply(lambda df: df.orderBy(*order))
         s.order, s.sorted, s.joined = order, True, False
 
     def clause_count(self, c, s: Stream) -> None:
-        own = self.fresh(c[1])
-        order = s.order or [F.monotonically_increasing_id()]
-        s.apply(lambda df: df.withColumn(own, F.row_number().over(Window.orderBy(*order)).cast("bigint")))
+        own, order = self.fresh(c[1]), s.order
+        s.apply(lambda df: sequences.numbered(df, order, own))
         s.env[c[1]] = V(F.col(own), "integer")
         s.order = [F.col(own)]
 
     def clause_while(self, c, s: Stream) -> None:
         """Tuples up to the first that fails: none behind its place is kept."""
-        test, ok = ebv(self.expr(c[1], s.env)), self.fresh("while")
-        order = s.order or [F.monotonically_increasing_id()]
-        running = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-        s.apply(lambda df: df.withColumn(ok, F.min(test.cast("int")).over(running)).where(F.col(ok) == 1).drop(ok))
+        test, place, order = ebv(self.expr(c[1], s.env)), self.fresh("while"), s.order
+
+        def kept(df: DataFrame) -> DataFrame:
+            rows = sequences.numbered(df, order, place)
+            first = rows.where(~test).agg(F.min(place).alias("#first"))
+            return rows.crossJoin(F.broadcast(first)).where(F.col("#first").isNull() | (F.col(place) < F.col("#first"))).drop("#first")  # one row
+
+        s.apply(kept)
+        s.order = [F.col(place)]
 
     def clause_window(self, c, s: Stream) -> None:
         _, kind, name, source, start, end, only = c
@@ -648,7 +668,45 @@ class Compiler:
 
     def e_try(self, node, env) -> V:
         a, b = self.attempted(node[1], env), self.expr(node[2], env)
-        return a.of(F.coalesce(a.col, b.col))
+        if a.col is None or a.many or b.many:  # nothing in it that could fail
+            return a
+        failed = self.fails(node[1], env)
+        return a if failed is None else a.of(F.when(failed, b.col).otherwise(a.col))
+
+    def fails(self, node, env) -> Column | None:
+        """When what attempted() tries raises an error: an empty operand gives an empty result, and that is none."""
+        if node[0] == "cast" or node[0] == "call" and node[1].startswith("xs:"):
+            own = node[1] if node[0] == "cast" else node[2][0]
+            return self.attempted(node, env).col.isNull() & one(self.expr(own, env)).isNotNull()
+        if node[0] == "binary" and node[1] in ("div", "idiv", "mod"):
+            x, y = self.expr(node[2], env), self.expr(node[3], env)
+            return F.coalesce((one(y) == 0) & one(x).isNotNull() & F.lit(not (node[1] == "div" and "double" in (x.type, y.type))), F.lit(False))
+        if node[0] == "call" and node[1].removeprefix("fn:") == "error":
+            return F.lit(True)
+        return None
+
+    def e_typeswitch(self, node, env) -> V:
+        """Types are known before the query runs, numbers of items are not: cases that can't fit fall away."""
+        v = self.expr(node[1], env)
+        name, other = node[3]
+        out = self.expr(other, {**env, **({name: v} if name else {})})
+        for own, types, then in reversed(node[2]):
+            test = None
+            for t in types:
+                fits = self.fits(v, t)
+                test = fits if test is None else test | fits
+            if not any(self.may_fit(v, t) for t in types):
+                continue
+            got = self.expr(then, {**env, **({own: v} if own else {})})
+            if got.many or out.many:
+                target = f"array<{SPARK.get(got.type, 'string')}>"
+                out = V(F.when(test, seq(got).cast(target)).otherwise(seq(out).cast(target)), got.type, many=True)
+            else:
+                if got.type != out.type and not (got.type in NUMERIC and out.type in NUMERIC):
+                    got, out = (V(text(x), "string") for x in (got, out))
+                kind = got.type if got.type == out.type else wider(got, out)
+                out = V(F.when(test, got.col).otherwise(out.col), kind, member=got.member)
+        return out
 
     def attempted(self, node, env) -> V:
         """An expression whose errors give null: casts and divisions, the ones that Spark can try."""
@@ -685,12 +743,82 @@ class Compiler:
         return self.expr(node[1], env)
 
     def e_instance(self, node, env) -> V:
-        v, want = self.expr(node[1], env), node[2]
-        name, mark = want.rstrip("?*+").removeprefix("xs:"), want[-1] if want[-1] in "?*+" else ""
-        fits = name in ("item", v.type, "anyAtomicType") or name == "decimal" and v.type == "integer" or name == "map" and v.type == "record" or name == "numeric" and v.type in NUMERIC
+        return V(self.fits(self.expr(node[1], env), node[2]), "boolean")
+
+    def may_fit(self, v: V, want: str) -> bool:
+        name = want.rstrip("?*+").removeprefix("xs:")
+        return name in ("item", v.type, "anyAtomicType") or name == "decimal" and v.type == "integer" or name == "map" and v.type == "record" or name == "numeric" and v.type in NUMERIC
+
+    def fits(self, v: V, want: str) -> Column:
+        mark, fits = want[-1] if want[-1] in "?*+" else "", self.may_fit(v, want)
         n = F.size(seq(v))
         size = {"": n == 1, "?": n <= 1, "*": F.lit(True), "+": n >= 1}[mark]
-        return V((size & F.lit(fits)) | ((n == 0) & F.lit(mark in "?*" and mark != "")), "boolean")
+        return (size & F.lit(fits)) | ((n == 0) & F.lit(mark in "?*" and mark != ""))
+
+    # constructors: an element is its own serialization, so that rows of them need no node table ------------------
+    def content(self, part, env) -> Column:
+        """What stands in an element for a text, an enclosed expression or a constructor: atomic items are joined by blanks."""
+        if isinstance(part, str):
+            return F.lit(part.replace("&", "&amp;").replace("<", "&lt;").replace(">", "&gt;"))
+        v = self.expr(part, env)
+        if v.type in ("element", "markup"):
+            return F.array_join(v.col, "") if v.many else F.coalesce(v.col, F.lit(""))
+        if v.col is None:
+            return F.lit("")
+        if v.many:
+            return escaped(F.array_join(F.transform(seq(v), lambda c: text(V(c, v.type))), " "))
+        return escaped(words(v))
+
+    def attribute(self, name: Column, value: Column) -> Column:
+        return F.concat(F.lit(" "), name, F.lit('="'), value, F.lit('"'))
+
+    def made(self, name: Column, attributes: list[Column], content: list[Column]) -> V:
+        inside = F.concat(*content) if content else F.lit("")
+        start = F.concat(F.lit("<"), name, *attributes)
+        return V(F.when(inside == "", F.concat(start, F.lit("/>"))).otherwise(F.concat(start, F.lit(">"), inside, F.lit("</"), name, F.lit(">"))), "element")
+
+    def e_element(self, node, env) -> V:
+        _, name, attributes, parts = node
+        value = lambda x: F.lit(x.replace("&", "&amp;").replace("<", "&lt;").replace('"', "&quot;")) if isinstance(x, str) else self.attribute_value(self.expr(x, env))
+        own = [self.attribute(F.lit(k), F.concat(*map(value, v)) if v else F.lit("")) for k, v in attributes]
+        return self.made(F.lit(name), own, [self.content(p, env) for p in parts])
+
+    def attribute_value(self, v: V) -> Column:
+        joined = F.array_join(F.transform(seq(v), lambda c: text(V(c, v.type))), " ") if v.many else words(v)
+        return escaped(joined, attribute=True)
+
+    def e_computed_element(self, node, env) -> V:
+        """Attributes that lead the content of a computed element become its own."""
+        name, body = words(self.expr(node[1], env)), node[2]
+        parts = body[1] if body[0] == "sequence" else [body]
+        own = [p for p in parts if p[0] == "computed-attribute"]
+        if parts[: len(own)] != own:
+            raise QueryError("XQTY0024", "an attribute stands behind other content")
+        made = [self.attribute(words(self.expr(p[1], env)), self.attribute_value(self.expr(p[2], env))) for p in own]
+        return self.made(name, made, [self.content(p, env) for p in parts[len(own) :]])
+
+    def e_computed_text(self, node, env) -> V:
+        return V(self.content(node[1], env), "markup")
+
+    def e_computed_comment(self, node, env) -> V:
+        return V(F.concat(F.lit("<!--"), words(self.expr(node[1], env)), F.lit("-->")), "markup")
+
+    def e_computed_document(self, node, env) -> V:
+        return V(self.content(node[1], env), "element")
+
+    def e_comment(self, node, env) -> V:
+        return V(F.lit(f"<!--{node[1]}-->"), "markup")
+
+    def e_instruction(self, node, env) -> V:
+        return V(F.lit(f"<?{node[1]} {node[2]}?>"), "markup")
+
+    def e_template(self, node, env) -> V:
+        """A string constructor: its expressions' items are joined by blanks."""
+        value = lambda p: F.lit(p) if isinstance(p, str) else self.joined(self.expr(p, env))
+        return V(F.concat(F.lit(""), *map(value, node[1])), "string")
+
+    def joined(self, v: V) -> Column:
+        return F.array_join(F.transform(seq(v), lambda c: text(V(c, v.type))), " ") if v.many else words(v)
 
     def e_filter(self, node, env) -> V:
         if self.table(node, env):
@@ -826,10 +954,18 @@ class Compiler:
             args = [("context",)]
         if name == "partition" and len(args) == 2:
             return windows.partition(self.expr(args[0], env), self.expr(args[1], env))
-        if name == "transitive-closure" or name == "iterate-while":
+        if name == "transitive-closure":
             raise QueryError("XPST0017", f"{name} over rows: see arbora.operators.sequences")
         if name == "function-lookup":
-            return self.e_reference(("reference", str(args[0][2][1][1] if args[0][0] == "call" else args[0][1]), int(args[1][1])), env)
+            return self.e_reference(("reference", str(args[0][2][-1][1] if args[0][0] == "call" else args[0][1]), int(args[1][1])), env)
+        if name == "doc-available" and args[0][0] == "literal":
+            try:
+                self.documents(str(args[0][1]))
+            except QueryError:
+                return V(F.lit(False), "boolean")
+            return V(F.lit(True), "boolean")
+        if name == "unparsed-text-available" and args[0][0] == "literal":
+            return V(F.lit(readers.available(self.spark, str(args[0][1]))), "boolean")
         if name.startswith("ft:"):
             return fulltext.function(name, [self.expr(a, env) for a in args])
         return self.partial(lambda own: self.apply(node[1], own, env), args, env)

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from arbora import function_queries
 from arbora.engine import Engine
 from arbora.operators import fulltext, nodes, sequences, updates, windows
 from arbora.operators.paths import Paths
@@ -86,13 +87,13 @@ TEXTS: dict[str, tuple[str, str]] = {
            abs(p_size - 25)::bigint a, case when contains(p_brand, '#') then coalesce(try_cast(split_part(p_brand, '#', 2) as double), 'nan'::double) else 'nan'::double end x, floor(sqrt(p_size) * 1e6 + 0.5) / 1e6 s from part""",
     ),
     "math": (
-        """for $p in collection("part") where $p?p_size le 20 return map { "k": $p?p_partkey, "e": round(math:exp($p?p_size div 10e0), 6), "l": round(math:log($p?p_size), 6), "p": math:pow($p?p_size, 2), "c": round(math:cos($p?p_size), 6), "t": round(math:atan2($p?p_size, 2), 6) }""",
-        """select p_partkey k, floor(exp(p_size / 10.0::double) * 1e6 + 0.5) / 1e6 e, floor(ln(p_size) * 1e6 + 0.5) / 1e6 l, pow(p_size, 2) p, floor(cos(p_size) * 1e6 + 0.5) / 1e6 c, floor(atan2(p_size, 2) * 1e6 + 0.5) / 1e6 t from part where p_size <= 20""",
+        """for $p in collection("part") return map { "k": $p?p_partkey, "e": round(math:exp($p?p_size div 10e0), 6), "l": round(math:log($p?p_size), 6), "p": math:pow($p?p_size, 2), "c": round(math:cos($p?p_size), 6), "t": round(math:atan2($p?p_size, 2), 6) }""",
+        """select p_partkey k, floor(exp(p_size / 10.0::double) * 1e6 + 0.5) / 1e6 e, floor(ln(p_size) * 1e6 + 0.5) / 1e6 l, pow(p_size, 2) p, floor(cos(p_size) * 1e6 + 0.5) / 1e6 c, floor(atan2(p_size, 2) * 1e6 + 0.5) / 1e6 t from part""",
     ),
     "dates": (
-        """for $o in collection("orders") where $o?o_orderkey lt 500 return map { "k": $o?o_orderkey, "y": year-from-dateTime($o?o_orderdate), "m": month-from-dateTime($o?o_orderdate), "d": day-from-dateTime($o?o_orderdate),
+        """for $o in collection("orders") return map { "k": $o?o_orderkey, "y": year-from-dateTime($o?o_orderdate), "m": month-from-dateTime($o?o_orderdate), "d": day-from-dateTime($o?o_orderdate),
            "h": hours-from-dateTime($o?o_orderdate), "f": format-dateTime($o?o_orderdate, "[D01]/[M01]/[Y0001]"), "n": string(xs:date($o?o_orderdate) + xs:dayTimeDuration("P30D")) }""",
-        """select o_orderkey k, year(o_orderdate) y, month(o_orderdate) m, day(o_orderdate) d, hour(o_orderdate) h, strftime(o_orderdate, '%d/%m/%Y') f, (o_orderdate::date + 30)::varchar n from orders where o_orderkey < 500""",
+        """select o_orderkey k, year(o_orderdate) y, month(o_orderdate) m, day(o_orderdate) d, hour(o_orderdate) h, strftime(o_orderdate, '%d/%m/%Y') f, (o_orderdate::date + 30)::varchar n from orders""",
     ),
     "casts": (
         """for $p in collection("part") return map { "k": $p?p_partkey, "i": xs:integer(substring-after($p?p_brand, "#")), "s": string($p?p_size), "b": xs:boolean($p?p_size mod 2), "ok": $p?p_name castable as xs:integer, "d": xs:double($p?p_size), "t": try { xs:integer($p?p_name) } catch * { -1 } }""",
@@ -103,10 +104,10 @@ TEXTS: dict[str, tuple[str, str]] = {
         """select p_partkey k, case when p_size > 25 then 'big' else 'small' end i, case p_size % 4 when 0 then 'zero' when 1 then 'low' when 2 then 'low' else 'high' end s from part""",
     ),
     "sequences": (
-        """for $p in collection("part") where $p?p_size le 12 let $s := 1 to $p?p_size return map { "k": $p?p_partkey, "n": count($s), "t": sum($s), "e": count($s[. mod 2 eq 0]), "h": head($s), "l": foot($s), "r": string-join(reverse($s) ! string(.), ","),
+        """for $p in collection("part") let $s := 1 to $p?p_size return map { "k": $p?p_partkey, "n": count($s), "t": sum($s), "e": count($s[. mod 2 eq 0]), "h": head($s), "l": foot($s), "r": string-join(reverse($s) ! string(.), ","),
            "x": string-join(subsequence($s, 2, 3) ! string(.), ","), "i": string-join(index-of($s, 3) ! string(.), ","), "f": fold-left($s, 0, function($a, $b) { $a + $b * $b }), "q": some $z in $s satisfies $z eq 7, "d": string-join(scan-left($s, 0, function($a, $b) { $a + $b }) ! string(.), ",") }""",
         """select p_partkey k, p_size::bigint n, (p_size * (p_size + 1) // 2)::bigint t, (p_size // 2)::bigint e, 1::bigint h, p_size::bigint l, array_to_string(list_reverse(range(1, p_size + 1)), ',') r, array_to_string(range(2, least(5, p_size + 1)), ',') x, case when p_size >= 3 then '3' else '' end i,
-           (p_size * (p_size + 1) * (2 * p_size + 1) // 6)::bigint f, p_size >= 7 q, array_to_string(list_transform(range(0, p_size + 1), lambda z: z * (z + 1) // 2), ',') d from part where p_size <= 12 and p_size >= 1""",
+           (p_size * (p_size + 1) * (2 * p_size + 1) // 6)::bigint f, p_size >= 7 q, array_to_string(list_transform(range(0, p_size + 1), lambda z: z * (z + 1) // 2), ',') d from part""",
     ),
     "arrays_maps": (
         """for $p in collection("part") let $a := [$p?p_size, 3, 1], $m := map:merge((map:entry("a", $p?p_size), map:entry("b", 2), map:entry("a", 9)))
@@ -122,7 +123,7 @@ TEXTS: dict[str, tuple[str, str]] = {
         """for sliding window $w in (1 to 6) start at $s when true() only end at $e when $e - $s eq 1 return map { "s": $s, "w": sum($w) }""",
         "select s, s + s + 1 w from (select unnest(range(1, 6)) s)",
     ),
-    "functions_user": ("""declare function local:net($p, $d) { $p * (1 - $d) }; for $l in collection("lineitem") where $l?l_orderkey lt 20 return map { "o": $l?l_orderkey, "n": $l?l_linenumber, "x": round(local:net($l?l_extendedprice, $l?l_discount), 2) }""", "select l_orderkey o, l_linenumber n, floor(l_extendedprice * (1 - l_discount) * 100 + 0.5) / 100 x from lineitem where l_orderkey < 20"),
+    "functions_user": ("""declare function local:net($p, $d) { $p * (1 - $d) }; for $l in collection("lineitem") return map { "o": $l?l_orderkey, "n": $l?l_linenumber, "x": round(local:net($l?l_extendedprice, $l?l_discount), 2) }""", "select l_orderkey o, l_linenumber n, floor(l_extendedprice * (1 - l_discount) * 100 + 0.5) / 100 x from lineitem"),
     "partial_application": ("""let $f := concat(?, "-", ?) for $r in collection("region") return $f($r?r_name, string($r?r_regionkey))""", "select r_name || '-' || r_regionkey item from region"),
     "fulltext_words": ("""for $d in collection("documents") where $d?text contains text "license" ftand ftnot "apache" return $d?doc_id""", "select doc_id item from documents where list_contains(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+'), 'license') and not list_contains(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+'), 'apache')"),
     "fulltext_phrase": ("""for $d in collection("documents") where $d?text contains text "all rights reserved" phrase return $d?doc_id""", "select doc_id item from documents where contains(' ' || array_to_string(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+'), ' ') || ' ', ' all rights reserved ')"),
@@ -186,11 +187,27 @@ def window_islands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return w.groupBy("user_id", "window_id").agg(F.count(F.lit(1)).alias("n"), F.min("event_type").alias("event_type"))
 
 
-def bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
+def node_sets_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Set operations in a query text go by the nodes' identity: links with equal texts stay apart."""
+    e = Engine(spark, sf_dir).register_documents("pages", spark.read.parquet(f"{sf_dir}/pages.parquet"), "page_id", "html", "html")
+    return e.query("""((doc("pages")//li union doc("pages")//nav union doc("pages")//nav//li) except doc("pages")//nav) ! map { "name": name(.), "text": string(.) }""")
+
+
+def bm25_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same scores from an inverted index with positions."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return fulltext.bm25(fulltext.postings(docs, "doc_id", "text"), ["license", "version"]).select(F.col("doc").alias("doc_id"), F.round("score", 6).alias("score"))
 
 
+def bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return fulltext.bm25_of(docs, "doc_id", "text", ["license", "version"]).select(F.col("doc").alias("doc_id"), F.round("score", 6).alias("score"))
+
+
+_BM25 = """with t as (select doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+(?:[''’][\\p{L}]+)*') w from documents), l as (select doc_id, len(w) n from t where len(w) > 0),
+        h as (select doc_id, term, len(list_filter(w, lambda x: x = term)) tf from t, (values ('license'), ('version')) v(term) where list_contains(w, term)), d as (select term, count(*) df from h group by 1), a as (select count(*) n, avg(n) mean from l)
+        select h.doc_id, round(sum(ln((a.n - df + 0.5) / (df + 0.5) + 1) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * l.n / mean))), 6) score from h join d using (term) join l using (doc_id), a group by 1"""
+
 OPERATORS: dict[str, tuple[Query, str]] = {
     "path_descendant": (path_descendant, f"select page_id, len(li) n from {_TAGS} where len(li) > 0"),
     "path_attribute": (path_attribute, f"select page_id, unnest(href) href from {_TAGS}"),
@@ -202,9 +219,9 @@ OPERATORS: dict[str, tuple[Query, str]] = {
     "transitive_closure": (transitive_closure, "with recursive r(item) as (select 0::bigint union select c_custkey from customer join r on c_custkey = item * 2 + 1 or c_custkey = item * 3 + 1) select item from r"),
     "window_islands": (window_islands, """select user_id, window_id::bigint window_id, count(*) n, min(event_type) event_type from (select *, sum(f) over (partition by user_id order by ts, event_id rows unbounded preceding) window_id from
         (select *, case when lag(event_type) over w = event_type then 0 else 1 end f from events window w as (partition by user_id order by ts, event_id))) group by 1, 2"""),
-    "bm25": (bm25, """with t as (select doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+(?:[''’][\\p{L}]+)*') w from documents), l as (select doc_id, len(w) n from t where len(w) > 0),
-        h as (select doc_id, term, len(list_filter(w, lambda x: x = term)) tf from t, (values ('license'), ('version')) v(term) where list_contains(w, term)), d as (select term, count(*) df from h group by 1), a as (select count(*) n, avg(n) mean from l)
-        select h.doc_id, round(sum(ln((a.n - df + 0.5) / (df + 0.5) + 1) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * l.n / mean))), 6) score from h join d using (term) join l using (doc_id), a group by 1"""),
+    "node_sets_text": (node_sets_text, "select 'li' as name, trim(replace(regexp_replace(t, '<[^>]*>', '', 'g'), '&amp;', '&')) as text from (select unnest(regexp_extract_all(html, '<li>(.*?)</li>', 1)) t from pages)"),
+    "bm25": (bm25, _BM25),
+    "bm25_index": (bm25_index, _BM25),
 }
 
 
@@ -213,8 +230,8 @@ def _run(text: str) -> Query:
 
 
 def queries() -> dict[str, Query]:
-    return {k: _run(q) for k, (q, _) in TEXTS.items()} | {k: f for k, (f, _) in OPERATORS.items()}
+    return {k: _run(q) for k, (q, _) in (TEXTS | function_queries.TEXTS).items()} | {k: f for k, (f, _) in OPERATORS.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {k: s for k, (_, s) in TEXTS.items()} | {k: s for k, (_, s) in OPERATORS.items()}
+    return {k: s for k, (_, s) in (TEXTS | function_queries.TEXTS).items()} | {k: s for k, (_, s) in OPERATORS.items()}

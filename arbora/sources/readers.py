@@ -31,6 +31,15 @@ def unparsed_text(spark: SparkSession, place: str, policy: Policy = Policy()) ->
     return spark.read.text(policy.check(place), wholetext=True).select(F.input_file_name().alias("uri"), F.col("value").alias("text"))
 
 
+def available(spark: SparkSession, place: str, policy: Policy = Policy()) -> bool:
+    """Whether a place may be read and something is there."""
+    try:
+        path = spark._jvm.org.apache.hadoop.fs.Path(policy.check(place))
+        return bool(path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path))
+    except Exception:  # not allowed, no such store, no right to look
+        return False
+
+
 def unparsed_lines(spark: SparkSession, place: str, policy: Policy = Policy()) -> DataFrame:
     return spark.read.text(policy.check(place)).select(F.col("value").alias("item"))
 
