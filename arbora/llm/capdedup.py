@@ -3,7 +3,10 @@
 The space is turned at random and cut into parts, each with its own code of random directions; a filter is one
 direction of each part put together; a few such tables are independent of each other. A vector passes the filters whose direction it exceeds a threshold on; they are
 listed by decoding (partial sums that can't reach the threshold any more are dropped), not by trying all. Vectors that
-share a filter are compared: first by stored half floats with a proved error, then exactly in double precision.
+share a filter are compared in cells of a bounded size, by stored half floats with a proved error. What they leave in
+no doubt is counted where it is found, in the first filter that both pass, so that a group of near copies sends its
+rows' counts and one link for each row, not its pairs; pairs within the error of the least cosine are told and verified
+exactly in double precision.
 """
 
 from __future__ import annotations
@@ -27,8 +30,8 @@ LEAST, PARTS, TABLES, MISS = 0.9, 2, 4, 1e-3
 HALF = 2.5 * 2.0**-11
 #: Rows of one filter that one task compares; more are dealt into pairs of parts.
 CELL = 1024
-#: Pairs that a task holds before it tells of them.
-HELD = 1_000_000
+#: Counts, links and pairs that a task holds before it tells of them, rows whose filters it remembers.
+HELD, KNOWN = 1_000_000, 100_000
 
 
 class Code:
@@ -89,55 +92,129 @@ class Filters:
         return np.concatenate(row)[order], np.concatenate(number)[order]
 
 
-def links(vectors: DataFrame, dims: int, rows: int) -> DataFrame:
-    """(a, b), a < b: pairs of unit vectors (_id, _u) that are found with a cosine of at least LEAST."""
+def first_shared(lists: list[np.ndarray], p: np.ndarray, q: np.ndarray, own: int) -> np.ndarray:
+    """Whether rows p and q share no filter below their own; lists: each row's filters."""
+    lower = [x[x < own] for x in lists]
+    every, place, times = np.unique(np.concatenate(lower), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(len(lists)), [len(x) for x in lower])
+    shared = times > 1
+    if not shared.any():
+        return np.ones(len(p), bool)
+    number = np.cumsum(shared) - 1
+    keep = shared[place]
+    bits = np.zeros((len(lists), -(-int(shared.sum()) // 64) * 64), bool)
+    bits[row[keep], number[place[keep]]] = True
+    packed = np.packbits(bits, axis=1).view(np.uint64)
+    out = np.empty(len(p), bool)
+    some = max(1, (1 << 21) // packed.shape[1])
+    for k in range(0, len(p), some):
+        out[k : k + some] = ~(packed[p[k : k + some]] & packed[q[k : k + some]]).any(axis=1)
+    return out
+
+
+def least_reached(n: int, p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """The smallest place that each of n places reaches over links p, q."""
+    least = np.arange(n)
+    while len(p):
+        before = least.copy()
+        np.minimum.at(least, p, least[q])
+        np.minimum.at(least, q, least[p])
+        least = least[least]
+        if (least == before).all():
+            break
+    return least
+
+
+def compared(vectors: DataFrame, dims: int, rows: int) -> DataFrame:
+    """What comparing unit vectors (_id, _u, _n: rows that have it) finds: rows (a, b, n, sure).
+
+    b null: n rows stand behind what a is surely linked with, as far as one task counted them. sure: a and b are
+    connected. Else a < b may be linked, and are told of once.
+    """
     shared = vectors.sparkSession.sparkContext.broadcast(Filters(dims, rows))  # a few hundred directions
 
     def list_filters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = shared.value
         for b in batches:
-            x = matrix(pa.chunked_array([b.column(1)])) if len(b) else np.zeros((0, dims))
-            row, number = f.decode(x)
+            x = (matrix(pa.chunked_array([b.column(1)])) if len(b) else np.zeros((0, dims))).astype(np.float16)
+            row, number = f.decode(x.astype(np.float64))  # of the half floats, as they are what is left later
             cut = np.searchsorted(row, np.arange(len(x) + 1))
-            half = [v.tobytes() for v in x.astype(np.float16)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(half, pa.binary()), pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(number, pa.int64()))], ["_id", "_h", "_f"])
+            half = [v.tobytes() for v in x]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(half, pa.binary()), pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(number, pa.int64()))], ["_id", "_n", "_h", "_f"])
 
-    listed = durable(vectors.select("_id", "_u").mapInArrow(list_filters, "_id long, _h binary, _f array<long>"))
-    flat = listed.select("_id", "_h", F.explode("_f").alias("_f"))
-    large = listed.select(F.explode("_f").alias("_f")).groupBy("_f").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > 1)
-    dealt = cells(flat, "_f", large, CELL)
+    listed = durable(vectors.select("_id", "_u", "_n").mapInArrow(list_filters, "_id long, _n long, _h binary, _f array<long>"))
+    flat = listed.select("_id", "_n", "_h", F.explode("_f").alias("_f"))
+    large = listed.select(F.explode("_f").alias("_f")).groupBy("_f").agg(F.count(F.lit(1)).alias("_m")).where(F.col("_m") > 1)
+    dealt = cells(flat, "_f", large.withColumnRenamed("_m", "_n"), CELL)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def pairs(group: pa.Table) -> np.ndarray:
+        known: dict[bytes, np.ndarray] = {}  # filters of vectors that have been near another
+
+        def filters(x: np.ndarray) -> list[np.ndarray]:
+            own = [v.tobytes() for v in x]
+            new = [k for k, v in enumerate(own) if v not in known]
+            if len(known) + len(new) > KNOWN:
+                known.clear()
+                new = list(range(len(own)))
+            if new:
+                row, number = shared.value.decode(x[new].astype(np.float64))
+                for k, listed in zip(new, np.split(number, np.searchsorted(row, np.arange(1, len(new))))):
+                    known[own[k]] = listed
+            return [known[v] for v in own]
+
+        def found(group: pa.Table) -> list[np.ndarray]:
+            """Counts (id, n), connections (id, id) and doubtful pairs of a cell."""
+            group = group.sort_by("_id")
             i, j = group.column("_i")[0].as_py(), group.column("_j")[0].as_py()
-            ids, part = group.column("_id").to_numpy(), group.column("_p").to_numpy()
-            x = np.frombuffer(b"".join(group.column("_h").to_pylist()), np.float16).reshape(len(ids), -1).astype(np.float32)
-            left, right = (part == i, part == j) if i != j else (np.ones(len(ids), bool),) * 2
-            near = x[left] @ x[right].T >= LEAST - HALF
-            p, q = np.nonzero(near)
-            a, b = ids[left][p], ids[right][q]
-            ok = a != b if i != j else a < b
-            return np.stack([np.minimum(a, b)[ok], np.maximum(a, b)[ok]])
-
-        def told(out: list[np.ndarray]) -> pa.RecordBatch:
-            found = np.concatenate(out, axis=1)
-            found = found[:, np.lexsort(found)]  # a pair of copies meets under many filters: tell of it once
-            found = found[:, np.append(True, (np.diff(found, axis=1) != 0).any(axis=0))] if found.shape[1] else found
-            return pa.RecordBatch.from_arrays([pa.array(found[0], pa.int64()), pa.array(found[1], pa.int64())], ["a", "b"])
-
-        out: list[np.ndarray] = []
+            ids, part, n = (group.column(c).to_numpy() for c in ("_id", "_p", "_n"))
+            x = np.frombuffer(b"".join(group.column("_h").to_pylist()), np.float16).reshape(len(ids), -1)
+            wide = x.astype(np.float32)
+            left, right = (np.flatnonzero(part == i), np.flatnonzero(part == j)) if i != j else (np.arange(len(ids)),) * 2
+            cosine = wide[left] @ wide[right].T
+            p, q = np.nonzero(cosine >= LEAST - HALF)
+            cosine, p, q = cosine[p, q], left[p], right[q]
+            keep = p < q if i == j else np.ones(len(p), bool)
+            cosine, p, q = cosine[keep], np.minimum(p, q)[keep], np.maximum(p, q)[keep]
+            if not len(p):
+                return []
+            sure = cosine >= LEAST + HALF
+            near = np.unique(np.concatenate([p, q]))
+            place = np.zeros(len(ids), np.int64)
+            place[near] = np.arange(len(near))
+            first = first_shared(filters(x[near]), place[p], place[q], group.column("_f")[0].as_py())
+            once = first & sure
+            times = np.bincount(p[once], n[q[once]], len(ids)) + np.bincount(q[once], n[p[once]], len(ids))
+            least = least_reached(len(ids), p[sure], q[sure])
+            on, told = np.flatnonzero(times), np.flatnonzero(least < np.arange(len(ids)))
+            return [np.stack([ids[on], times[on].astype(np.int64)]), np.stack([ids[least[told]], ids[told]]), np.stack([ids[p[first & ~sure]], ids[q[first & ~sure]]])]
+
+        def told(out: list[list[np.ndarray]]) -> pa.RecordBatch:
+            counts, links, doubtful = (np.concatenate(c, axis=1) for c in zip(*out))
+            ids, at = np.unique(counts[0], return_inverse=True)
+            n = np.bincount(at, counts[1], len(ids)).astype(np.int64)
+            links = links[:, np.lexsort(links)]
+            links = links[:, np.append(True, (np.diff(links, axis=1) != 0).any(axis=0))] if links.shape[1] else links
+            a = np.concatenate([ids, links[0], doubtful[0]])
+            b = pa.array(np.concatenate([ids, links[1], doubtful[1]]), pa.int64(), mask=np.arange(len(a)) < len(ids))
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), b, pa.array(np.concatenate([n, np.zeros(len(a) - len(n), np.int64)]), pa.int64()), pa.array(np.arange(len(a)) < len(ids) + links.shape[1])], ["a", "b", "n", "sure"])
+
+        out: list[list[np.ndarray]] = []
         size = 0
         for group in runs(batches, ("_f", "_i", "_j")):
-            if len(group) > 1:
-                out.append(pairs(group))
-                size += out[-1].shape[1]
+            if len(group) > 1 and (own := found(group)):
+                out.append(own)
+                size += sum(x.shape[1] for x in own)
                 if size > HELD:
                     yield told(out)
                     out, size = [], 0
         if out:
             yield told(out)
 
-    near = dealt.select("_f", "_i", "_j", "_p", "_id", "_h").mapInArrow(compare, "a long, b long").distinct()
+    return dealt.select("_f", "_i", "_j", "_p", "_id", "_n", "_h").mapInArrow(compare, "a long, b long, n long, sure boolean")
+
+
+def verified(pairs: DataFrame, vectors: DataFrame) -> DataFrame:
+    """Of pairs (a, b), those whose vectors (_id, _v) have a cosine of at least LEAST."""
     left = vectors.select(F.col("_id").alias("a"), F.col("_v").alias("va"))
     right = vectors.select(F.col("_id").alias("b"), F.col("_v").alias("vb"))
 
@@ -147,7 +224,7 @@ def links(vectors: DataFrame, dims: int, rows: int) -> DataFrame:
             keep = pa.array((x * y).sum(axis=1) / (np.sqrt((x * x).sum(axis=1)) * np.sqrt((y * y).sum(axis=1))) >= LEAST)
             yield pa.RecordBatch.from_arrays([b.column(0).filter(keep), b.column(1).filter(keep)], ["a", "b"])
 
-    return near.join(left, "a").join(right, "b").select("a", "b", "va", "vb").mapInArrow(exact, "a long, b long")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "va", "vb").mapInArrow(exact, "a long, b long")
 
 
 def near_duplicates(vectors: DataFrame, id_column: str = "vec_id", vector_column: str = "embedding") -> DataFrame:
@@ -166,11 +243,12 @@ def near_duplicates(vectors: DataFrame, id_column: str = "vec_id", vector_column
     good = good.where(F.size("_v") == dims)
     length = F.sqrt(F.aggregate("_v", F.lit(0.0), lambda s, v: s + v * v))
     distinct = durable(good.groupBy("_v").agg(F.min("_id").alias("_id"), F.count(F.lit(1)).alias("_n")).withColumn("_u", F.transform("_v", lambda v: v / length)))
-    found = durable(links(distinct, dims, n))
-    both = found.select("a", "b").union(found.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    times = distinct.select(F.col("_id").alias("b"), "_n")
-    linked = both.join(times, "b").groupBy("a").agg(F.sum("_n").alias("_links")).withColumnRenamed("a", "_id")
-    roots = components(found).withColumnRenamed("node", "_id")
+    found = durable(compared(distinct, dims, n))
+    exact = durable(verified(found.where("b is not null and not sure").select("a", "b"), distinct))
+    both = exact.union(exact.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    counts = both.join(distinct.select(F.col("_id").alias("b"), F.col("_n").alias("n")), "b").select("a", "n").union(found.where("b is null").select("a", "n"))
+    linked = counts.groupBy("a").agg(F.sum("n").alias("_links")).withColumnRenamed("a", "_id")
+    roots = components(exact.union(found.where("b is not null and sure").select("a", "b"))).withColumnRenamed("node", "_id")
     told = distinct.select("_v", "_n", "_id").join(linked, "_id", "left").join(roots, "_id", "left").select(
         F.col("_v").alias("_w"), (F.col("_n") - 1 + F.coalesce("_links", F.lit(0))).alias("_links"), F.coalesce("root", "_id").alias("_root")
     )

@@ -220,6 +220,33 @@ def test_cap_dedup(spark):
     assert capdedup.near_duplicates(frame(spark, x).where("vec_id < 0")).count() == 0
 
 
+def test_links_are_counted_once_whatever_they_share(spark, monkeypatch):
+    """Groups of near copies meet under many filters and in many cells: each link counts once, and few rows tell of it."""
+    r = np.random.default_rng(8)
+    x = np.concatenate([c + 0.04 * r.standard_normal((70, 24)) for c in r.standard_normal((4, 24))] + [r.standard_normal((60, 24))])
+    x[5] = x[3] * 0.9 + 0.1 * r.standard_normal(24)
+    x[20] = x[21]
+    monkeypatch.setattr(capdedup, "CELL", 16)
+    monkeypatch.setattr(capdedup, "KNOWN", 50)
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    g = u @ u.T
+    np.fill_diagonal(g, 0)
+    rows = [(i, [float(v) for v in w], 1, "n") for i, w in enumerate(x)]
+    got = {y["vec_id"]: y for y in capdedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, _n int, a string")).collect()}
+    assert [got[i]["n_links"] for i in range(len(x))] == (g >= 0.9).sum(axis=1).tolist()
+    assert all(got[a]["component_id"] == got[b]["component_id"] for a, b in zip(*np.nonzero(g >= 0.9)))
+
+
+def test_first_shared_and_least_reached():
+    r = np.random.default_rng(9)
+    lists = [np.unique(r.integers(0, 300, r.integers(0, 40))) for _ in range(60)]
+    p, q = np.triu_indices(60, 1)
+    for own in (0, 7, 150, 400):
+        want = [not any(f < own for f in set(lists[a]) & set(lists[b])) for a, b in zip(p, q)]
+        assert capdedup.first_shared(lists, p, q, own).tolist() == want
+    assert capdedup.least_reached(7, np.array([4, 2, 5]), np.array([6, 4, 1])).tolist() == [0, 1, 2, 3, 2, 1, 2]
+
+
 def test_scores(spark):
     r = random.Random(8)
     rows = [(i, " ".join(prose(r, 40)) + (".\n" if i % 2 else " ")) for i in range(150)] + [(200, None), (201, ""), (202, "ÉX Éx\x1cy")]
