@@ -127,6 +127,8 @@ TEXTS: dict[str, tuple[str, str]] = {
             "later": ("string($d + $m)", "(ts::date + to_months(user_id::int))::date::varchar"),
             "f": ('format-date($d, "[D01].[M01].[Y0001]")', "strftime(ts, '%d.%m.%Y')"),
             "now": ("current-date() gt $d and current-dateTime() gt $e?ts", "true"),
+            "zone": ('string(xs:dateTime(concat(substring(string($e?ts), 1, 19), "+05:30")))', "strftime(date_trunc('second', ts) - interval 330 minute, '%Y-%m-%dT%H:%M:%S')"),
+            "mail": ('string(parse-ietf-date(concat("Wed, 06 Jun 2001 07:29:", substring(string($e?ts), 18, 2), " -0500")))', "'2001-06-06T12:29:' || strftime(ts, '%S')"),
             "lt": ('$e?ts lt xs:dateTime("2024-01-08T00:00:00")', "ts < timestamp '2024-01-08'"),
         },
         "|events",

@@ -522,7 +522,6 @@ fn("seconds-from-time")(lambda v: V(F.split_part(text(v), F.lit(":"), F.lit(3)).
 fn("timezone-from-time")(lambda v: V(F.lit(None).cast(SPARK["dayTimeDuration"]), "dayTimeDuration"))
 fn("type")(lambda v: V(F.struct(F.lit("sequence" if v.many else "item").alias("kind"), F.lit(v.type).alias("name")), "record", fields={"kind": V(F.lit("sequence" if v.many else "item"), "string"), "name": V(F.lit(v.type), "string")}))
 fn("random-number-generator")(lambda seed=None: V(F.struct(F.rand(int(seed.literal) if seed else 0).alias("number")), "record", fields={"number": V(F.rand(int(seed.literal) if seed else 0), "double")}))
-fn("adjust-dateTime-to-timezone")(lambda v, tz=None: v if tz is None or tz.many else V(one(v) + one(tz), v.type))
 fn("map:find")(lambda m, k: V(F.filter(F.array(F.try_element_at(m.col, one(k))), lambda x: x.isNotNull()) if m.type == "map" else F.array(m.fields[k.literal].col) if k.literal in m.fields else F.array().cast("array<string>"), "array", member=m.member))
 
 # maps and arrays ----------------------------------------------------------------------------------------------
@@ -750,12 +749,22 @@ IETF = ("d MMM yyyy HH:mm:ss", "d-MMM-yy HH:mm:ss", "MMM d HH:mm:ss yyyy", "d MM
 
 @fn("parse-ietf-date")
 def parse_ietf_date(v: V) -> V:
+    zone = F.regexp_extract(words(v), r"([+-])(\d\d)(\d\d)(?:\s*\([^)]*\))?$", 0)
+    hours = lambda k: F.coalesce(F.nullif(F.regexp_extract(words(v), r"([+-])(\d\d):?(\d\d)(?:\s*\([^)]*\))?$", k), F.lit("")), F.lit("0")).cast("int")
+    ahead = F.make_dt_interval(F.lit(0), hours(2), hours(3)) * F.when(zone.startswith("-"), -1).otherwise(1)
     s = F.regexp_replace(words(v), r"\s*(GMT|UTC|UT|Z|[+-]\d{4})(\s*\([^)]*\))?$", "")
     s = F.regexp_replace(F.trim(s), r"^(?i)(mon|tue|wed|thu|fri|sat|sun)[a-z]*,?\s+", "")
-    return V(F.coalesce(*[F.try_to_timestamp(s, F.lit(f)) for f in IETF]).cast("timestamp_ntz"), "dateTime")
+    return V(F.coalesce(*[F.try_to_timestamp(s, F.lit(f)) for f in IETF]).cast("timestamp_ntz") - ahead, "dateTime")  # kept in UTC
+
+
+@fn("adjust-dateTime-to-timezone", "adjust-date-to-timezone", "adjust-time-to-timezone")
+def adjust(v: V, tz: V | None = None) -> V:
+    """Values are kept in UTC and without a zone: taking the zone off changes nothing, another one can't be put on."""
+    if tz is not None and not (tz.many and tz.col is not None and tz.literal is None and tz.type == "string"):
+        raise QueryError("FODT0003", "a value can't carry a time zone here; add its offset as a duration")
+    return v
 
 
-fn("adjust-date-to-timezone", "adjust-time-to-timezone")(lambda v, tz=None: v)
 #: Each of these types is a list of the other's values.
 for name in ("NMTOKENS", "IDREFS", "ENTITIES"):
     LIBRARY[f"xs:{name}"] = tokenize
@@ -867,7 +876,9 @@ def cast(v: V, target: str, soft: bool = False) -> V:
             out = F.trim(F.regexp_replace(out, r"\s+", " "))
         return V(out, name if name in SPARK else "string")
     if name in ("date", "dateTime"):
-        out = raw.try_cast(SPARK[name]) if v.type in ("date", "dateTime") else F.replace(raw, F.lit("T"), F.lit(" ")).try_cast(SPARK[name]) if name == "dateTime" else F.when(raw.rlike(r"^-?\d{4,}-\d\d-\d\d$"), raw.try_cast("date"))
+        plain = F.replace(raw.cast("string"), F.lit("T"), F.lit(" "))
+        zoned = F.to_utc_timestamp(plain.try_cast("timestamp"), F.current_timezone()).cast("timestamp_ntz")  # values are kept in UTC
+        out = raw.try_cast(SPARK[name]) if v.type in ("date", "dateTime") else F.when(plain.rlike(r"(Z|[+-]\d\d:\d\d)$"), zoned).otherwise(plain.try_cast(SPARK[name])) if name == "dateTime" else F.when(raw.rlike(r"^-?\d{4,}-\d\d-\d\d$"), raw.try_cast("date"))
         return V(strict(out), name)
     if name == "dayTimeDuration":
         part = lambda unit, pre="": F.coalesce(F.nullif(F.regexp_extract(raw, r"^(-?)P(?:(\d+)D)?(?:T(?:(\d+)H)?(?:(\d+)M)?(?:(\d+(?:\.\d+)?)S)?)?$", unit), F.lit("")), F.lit("0"))

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from arbora.functions.library import LIBRARY, cast, collated
 from arbora.functions.values import NUMERIC, SPARK, V, ebv, escaped, from_type, literal, number, one, seq, text, wider, words
-from arbora.operators import fulltext, sequences, windows
+from arbora.operators import fulltext, sequences, updates, windows
 from arbora.operators.paths import COLUMNS, Paths
 from arbora.plans.parser import QueryError, parse
 from arbora.sources import readers
@@ -26,6 +26,30 @@ from arbora.sources import readers
 AGGREGATES = ("count", "sum", "avg", "min", "max", "string-join", "distinct-values")
 
 
+def replaced(tree, old, new):
+    """A tree with one of its parts replaced wherever it stands."""
+    if tree == old:
+        return new
+    if isinstance(tree, (tuple, list)):
+        return type(tree)(replaced(x, old, new) for x in tree)
+    return tree
+
+
+def markup(node) -> str:
+    """The markup that a constructor or a literal without any expression stands for."""
+    sign = lambda x: x.replace("&", "&amp;").replace("<", "&lt;").replace('"', "&quot;")
+    if isinstance(node, str):
+        return sign(node)
+    if node[0] == "literal":
+        return sign(str(node[1]))
+    if node[0] == "element":
+        own = "".join(f' {k}="{"".join(map(markup, v))}"' for k, v in node[2])
+        return f"<{node[1]}{own}>{''.join(map(markup, node[3]))}</{node[1]}>"
+    if node[0] == "sequence":
+        return "".join(map(markup, node[1]))
+    raise QueryError("XUST0001", "what an update puts in has to be a literal or a constructor without expressions")
+
+
 @dataclass
 class Rows:
     """A sequence as a DataFrame: item describes its items in df's columns; order: the keys it is sorted by."""
@@ -115,6 +139,8 @@ class Compiler:
     def table(self, node, env) -> bool:
         """Whether an expression ranges over a collection, so that it is a DataFrame and not a column."""
         kind = node[0]
+        if kind == "transform":
+            return True
         if kind == "call":
             name = node[1].removeprefix("fn:")
             if name in ("collection", "doc", "unparsed-text", "unparsed-text-lines", "json-doc"):
@@ -147,6 +173,8 @@ class Compiler:
                 df = df.select(F.explode(v.col).alias(name))
                 v = replace(v.of(F.col(name), many=False), fields=v.fields)
             return Rows(df, v)
+        if kind == "transform":
+            return self.transform(node, env)
         if kind == "var":
             return self.rows(env[node[1]][1], env[node[1]][2])
         if kind == "step":
@@ -212,6 +240,23 @@ class Compiler:
             raise QueryError("XPTY0004", "reverse a sorted collection by its order by")
         raise QueryError("XPST0017", f"unknown function {name}")
 
+    def transform(self, node, env) -> Rows:
+        """copy ... modify ... return: the edits, found by paths in the old documents, give new documents, which the rest reads."""
+        _, name, source, edits, body = node
+        if not (source[0] == "call" and source[1].removeprefix("fn:") == "doc"):
+            raise QueryError("XUTY0013", "copy takes doc()")
+        old, new = str(source[2][0][1]), self.fresh("copy")
+        nodes, known = sequences.durable(self.documents(old)), self.documents
+        rows = None
+        for action, target, what in edits:
+            found = self.rows(replaced(target, ("var", name), source), env)
+            at = found.df.select(*[found.item.fields[c].col.alias(c) for c in ("doc_id", "pre")])
+            own = updates.edit(action, at, **({} if what is None else {"name": str(what[1])} if action == "rename" else {"content": markup(what)}))
+            rows = own if rows is None else rows.unionByName(own)
+        after = sequences.durable(updates.apply(nodes, rows))
+        self.documents = lambda x: after if x == new else known(x)
+        return self.rows(replaced(body, ("var", name), ("call", "doc", [("literal", new, "string")])), env)
+
     def node_sets(self, how: str, left: Rows, right: Rows) -> Rows:
         """Sets of nodes go by identity, not by value, and come in document order."""
         if left.item.member != right.item.member:

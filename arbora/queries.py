@@ -193,6 +193,13 @@ def node_sets_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.query("""((doc("pages")//li union doc("pages")//nav union doc("pages")//nav//li) except doc("pages")//nav) ! map { "name": name(.), "text": string(.) }""")
 
 
+def transform_copy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Updates in a query text: copies of the pages with other names, a mark in each nav, and no adverts."""
+    e = Engine(spark, sf_dir).register_documents("pages", spark.read.parquet(f"{sf_dir}/pages.parquet"), "page_id", "html", "html")
+    return e.query("""copy $c := doc("pages") modify (rename nodes $c//li as "item", insert node <mark k="1">new</mark> as first into $c//nav, delete nodes $c//div[@class = 'ad'])
+                      return ($c//item union $c//mark union $c//li union $c//div[@class = 'ad']) ! map { "name": name(.), "text": string(.) }""")
+
+
 def bm25_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same scores from an inverted index with positions."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
@@ -220,6 +227,7 @@ OPERATORS: dict[str, tuple[Query, str]] = {
     "window_islands": (window_islands, """select user_id, window_id::bigint window_id, count(*) n, min(event_type) event_type from (select *, sum(f) over (partition by user_id order by ts, event_id rows unbounded preceding) window_id from
         (select *, case when lag(event_type) over w = event_type then 0 else 1 end f from events window w as (partition by user_id order by ts, event_id))) group by 1, 2"""),
     "node_sets_text": (node_sets_text, "select 'li' as name, trim(replace(regexp_replace(t, '<[^>]*>', '', 'g'), '&amp;', '&')) as text from (select unnest(regexp_extract_all(html, '<li>(.*?)</li>', 1)) t from pages)"),
+    "transform_copy": (transform_copy, "select 'item' as name, trim(replace(regexp_replace(t, '<[^>]*>', '', 'g'), '&amp;', '&')) as text from (select unnest(regexp_extract_all(html, '<li>(.*?)</li>', 1)) t from pages) union all select 'mark', 'new' from pages"),
     "bm25": (bm25, _BM25),
     "bm25_index": (bm25_index, _BM25),
 }
