@@ -164,24 +164,30 @@ def compared(vectors: DataFrame, dims: int, rows: int) -> DataFrame:
 
         def found(group: pa.Table) -> list[np.ndarray]:
             """Counts (id, n), connections (id, id) and doubtful pairs of a cell."""
-            group = group.sort_by("_id")
             i, j = group.column("_i")[0].as_py(), group.column("_j")[0].as_py()
-            ids, part, n = (group.column(c).to_numpy() for c in ("_id", "_p", "_n"))
-            x = np.frombuffer(b"".join(group.column("_h").to_pylist()), np.float16).reshape(len(ids), -1)
-            wide = x.astype(np.float32)
-            left, right = (np.flatnonzero(part == i), np.flatnonzero(part == j)) if i != j else (np.arange(len(ids)),) * 2
-            cosine = wide[left] @ wide[right].T
-            p, q = np.nonzero(cosine >= LEAST - HALF)
-            cosine, p, q = cosine[p, q], left[p], right[q]
-            keep = p < q if i == j else np.ones(len(p), bool)
-            cosine, p, q = cosine[keep], np.minimum(p, q)[keep], np.maximum(p, q)[keep]
+            half = np.frombuffer(b"".join(group.column("_h").to_pylist()), np.float16).reshape(len(group), -1)
+            x = half.astype(np.float32)
+            if i == j:
+                cosine = x @ x.T
+                p, q = np.nonzero(np.triu(cosine >= LEAST - HALF, 1))
+                sure = cosine[p, q] >= LEAST + HALF
+            else:
+                part = group.column("_p").to_numpy()
+                left, right = np.flatnonzero(part == i), np.flatnonzero(part == j)
+                cosine = x[left] @ x[right].T
+                p, q = np.nonzero(cosine >= LEAST - HALF)
+                sure = cosine[p, q] >= LEAST + HALF
+                p, q = left[p], right[q]
             if not len(p):
                 return []
-            sure = cosine >= LEAST + HALF
-            near = np.unique(np.concatenate([p, q]))
-            place = np.zeros(len(ids), np.int64)
-            place[near] = np.arange(len(near))
-            first = first_shared(filters(x[near]), place[p], place[q], group.column("_f")[0].as_py())
+            near, at = np.unique(np.concatenate([p, q]), return_inverse=True)
+            ids, n, half = group.column("_id").to_numpy()[near], group.column("_n").to_numpy()[near], half[near]
+            order = np.argsort(ids, kind="stable")
+            rank = np.empty(len(order), np.int64)
+            rank[order] = np.arange(len(order))
+            ids, n, half, at = ids[order], n[order], half[order], rank[at]
+            p, q = np.minimum(*np.split(at, 2)), np.maximum(*np.split(at, 2))
+            first = first_shared(filters(half), p, q, group.column("_f")[0].as_py())
             once = first & sure
             times = np.bincount(p[once], n[q[once]], len(ids)) + np.bincount(q[once], n[p[once]], len(ids))
             least = least_reached(len(ids), p[sure], q[sure])
