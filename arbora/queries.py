@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,6 +40,7 @@ TEXTS: dict[str, tuple[str, str]] = {
         "select r_name r, n_name n from region left join nation on n_regionkey = r_regionkey and n_nationkey < 3",
     ),
     "flwor_otherwise": ("""for $o in collection("orders") where $o?o_totalprice lt 0 return $o?o_orderkey otherwise 7""", "select 7::bigint item"),
+    "flwor_otherwise_some": ("""for $c in collection("customer") where $c?c_acctbal lt 0 return $c?c_custkey otherwise 7""", "select c_custkey item from customer where c_acctbal < 0"),
     "group_having": (
         """for $o in collection("orders") group by $c := $o?o_custkey let $n := count($o) where $n gt 15 return map { "c": $c, "n": $n, "p": round(sum($o?o_totalprice)) }""",
         "select o_custkey c, count(*) n, floor(sum(o_totalprice) + 0.5) p from orders group by 1 having count(*) > 15",
@@ -158,6 +160,21 @@ def path_axes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Paths(_nodes(spark, sf_dir)).select("//a/ancestor::nav/following-sibling::article").select(F.col("doc_id").alias("page_id"), F.col("local").alias("name"))
 
 
+#: A path by each axis, and the start tag that its nodes have in the markup.
+AXES = {
+    "child": ("//ul/child::li", "<li>"), "self": ("//li/self::li", "<li>"), "parent": ("//a/parent::li", "<li>"), "ancestor": ("//a/ancestor::ul", "<ul>"), "ancestor-or-self": ("//li/ancestor-or-self::nav", "<nav>"),
+    "descendant": ("//nav/descendant::a", "<a "), "descendant-or-self": ("//ul/descendant-or-self::li", "<li>"), "following-sibling": ("//nav/following-sibling::footer", "<footer>"),
+    "preceding-sibling": ("//article/preceding-sibling::nav", "<nav>"), "following": ("//ul/following::h1", "<h1>"), "preceding": ("//footer/preceding::li", "<li>"), "attribute": ("//a/attribute::href", " href="),
+}
+
+
+def path_every_axis(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes per page that a path by each axis finds."""
+    p = Paths(sequences.durable(_nodes(spark, sf_dir)))
+    parts = [p.select(path).groupBy(F.col("doc_id").alias("page_id")).agg(F.count(F.lit(1)).alias("n")).select("page_id", F.lit(axis).alias("axis"), "n") for axis, (path, _) in AXES.items()]
+    return reduce(DataFrame.unionByName, parts)
+
+
 def node_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = Paths(_nodes(spark, sf_dir))
     every = nodes.except_(nodes.union(p.select("//nav"), p.select("//nav//li")), p.select("//li"))
@@ -221,6 +238,7 @@ OPERATORS: dict[str, tuple[Query, str]] = {
     "path_positional": (path_positional, "select page_id, replace(regexp_extract(html, '<ul><li>.*?</li><li><a href=\"[^\"]*\">(.*?)</a>', 1), '&amp;', '&') as text from pages"),
     "path_predicate": (path_predicate, "select page_id, len(regexp_extract_all(html, '<div class=\"ad\">')) n from pages"),
     "path_axes": (path_axes, "select page_id, 'article' as name from pages"),
+    "path_every_axis": (path_every_axis, "select * from (" + " union all ".join(f"select page_id, '{axis}' as axis, len(regexp_extract_all(html, '{tag}')) n from pages" for axis, (_, tag) in AXES.items()) + ") where n > 0"),
     "node_sets": (node_sets, "select page_id, 'nav' as name from pages"),
     "update_nodes": (update_nodes, f"select page_id, 'item' as name, len(li) n from {_TAGS} union all select page_id, 'mark', 1 from pages"),
     "transitive_closure": (transitive_closure, "with recursive r(item) as (select 0::bigint union select c_custkey from customer join r on c_custkey = item * 2 + 1 or c_custkey = item * 3 + 1) select item from r"),
