@@ -278,6 +278,14 @@ TEXTS: dict[str, tuple[str, str]] = {
            return map { "k": $n?n_nationkey, "xml": serialize($e), "value": string($e) }""",
         """select n_nationkey k, '<n' || n_regionkey || ' key="' || n_nationkey || '">' || n_name || '&amp;<!--c-->1 2 3</n' || n_regionkey || '>' as xml, n_name || '&1 2 3' as value from nation""",
     ),
+    "json_xml": (
+        """for $e in collection("events") let $x := json-to-xml($e?props) return map { "k": $e?event_id, "xml": serialize($x), "json": xml-to-json($x), "value": string($x) }""",
+        """select event_id k, '<map xmlns="http://www.w3.org/2005/xpath-functions"><number key="k">' || json_extract_string(props, '$.k') || '</number></map>' as xml, '{"k":' || json_extract_string(props, '$.k') || '}' as json, json_extract_string(props, '$.k') as value from events""",
+    ),
+    "parse_xml": (
+        """for $c in collection("customer") let $x := parse-xml(concat("<c n='", $c?c_custkey, "'><b>", $c?c_name, "</b>!</c>")) return map { "k": $c?c_custkey, "value": string($x), "xml": serialize(parse-xml-fragment(concat($c?c_name, "<i/>"))) }""",
+        "select c_custkey k, c_name || '!' as value, c_name || '<i/>' as xml from customer",
+    ),
     "string_constructor": ("""for $n in collection("nation") return ``[{"k": `{$n?n_nationkey}`, "n": "`{$n?n_name}`"}]``""", """select '{"k": ' || n_nationkey || ', "n": "' || n_name || '"}' item from nation"""),
     "typeswitch": (
         """for $p in collection("part") return map { "k": $p?p_partkey, "a": typeswitch ($p?p_size) case xs:string return "text" case $i as xs:integer return concat("n", $i) default return "?",

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import json
 import math
 import re
 import unicodedata
 from collections.abc import Callable
 from urllib.parse import quote, urljoin
+from xml.etree import ElementTree
 
 import pandas as pd
 from pyspark.sql import Column
@@ -712,7 +714,16 @@ def format_number(v: V, picture: V, *rest: V) -> V:
 fn("parse-json")(lambda v, o=None: V(F.parse_json(one(v)), "variant"))
 fn("json-path")(lambda v, p, k=None: string(F.get_json_object(one(v), "$." + str(fixed(p, "a path")))))
 fn("serialize")(lambda v, p=None: string(v.col) if v.type in ("element", "markup") and not v.many else string(text(v) if v.type in SPARK and not v.many else F.to_json(v.col)))
-fn("resolve-uri")(lambda r, b: string(F.udf(lambda x, y: None if x is None else urljoin(y or "", x), "string")(one(r), one(b))) if r.literal is None or b.literal is None else string(F.lit(urljoin(str(b.literal), str(r.literal)))))
+@fn("resolve-uri")
+def resolve_uri(relative: V, base: V) -> V:
+    if relative.literal is not None and base.literal is not None:
+        return string(F.lit(urljoin(base.literal, relative.literal)))
+
+    @F.pandas_udf("string")
+    def joined(r: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([None if x is None else urljoin(y or "", x) for x, y in zip(r, b)], dtype=object)
+
+    return string(joined(one(relative), one(base)))
 fn("environment-variable")(lambda v: string(F.lit(None).cast("string")))
 fn("available-environment-variables")(lambda: V(F.array().cast("array<string>"), "string", many=True))
 fn("static-base-uri")(lambda: V(F.lit(None).cast("string"), "anyURI"))
@@ -725,6 +736,62 @@ fn("prefix-from-QName")(lambda q: string(F.nullif(q.col.prefix, F.lit(""))))
 fn("parse-uri")(lambda v: V(F.create_map(*[x for part in ("PROTOCOL", "HOST", "PATH", "QUERY", "REF") for x in (F.lit({"PROTOCOL": "scheme", "REF": "fragment"}.get(part, part.lower())), F.try_parse_url(words(v), F.lit(part)))]), "map", member="string"))
 fn("build-uri")(lambda m: string(F.concat(F.coalesce(F.concat(F.try_element_at(m.col, F.lit("scheme")), F.lit("://")), F.lit("")), F.coalesce(F.try_element_at(m.col, F.lit("host")), F.lit("")), F.coalesce(F.try_element_at(m.col, F.lit("path")), F.lit("")), F.coalesce(F.concat(F.lit("?"), F.try_element_at(m.col, F.lit("query"))), F.lit("")), F.coalesce(F.concat(F.lit("#"), F.try_element_at(m.col, F.lit("fragment"))), F.lit("")))))
 
+#: A fixed value: the namespace of JSON's XML form.
+JSON_XML = "http://www.w3.org/2005/xpath-functions"
+
+
+def _marked(s: str) -> str:
+    return s.replace("&", "&amp;").replace("<", "&lt;").replace(">", "&gt;").replace('"', "&quot;")
+
+
+class _Number(str):
+    pass
+
+
+def _json_as_xml(value, key: str | None = None, top: bool = False) -> str:
+    own = (f' xmlns="{JSON_XML}"' if top else "") + (f' key="{_marked(key)}"' if key is not None else "")
+    if value is None:
+        return f"<null{own}/>"
+    if isinstance(value, bool):
+        return f"<boolean{own}>{str(value).lower()}</boolean>"
+    name = "map" if isinstance(value, dict) else "array" if isinstance(value, list) else "number" if isinstance(value, _Number) else "string"
+    inside = "".join(_json_as_xml(v, k) for k, v in value.items()) if name == "map" else "".join(map(_json_as_xml, value)) if name == "array" else _marked(value)
+    return f"<{name}{own}>{inside}</{name}>" if inside else f"<{name}{own}/>"
+
+
+def _xml_as_json(e) -> str:
+    name, inside = e.tag.removeprefix(f"{{{JSON_XML}}}"), "".join(e.itertext())
+    if name == "map":
+        return "{" + ",".join(f"{json.dumps(x.get('key'), ensure_ascii=False)}:{_xml_as_json(x)}" for x in e) + "}"
+    if name == "array":
+        return "[" + ",".join(map(_xml_as_json, e)) + "]"
+    if name == "string":
+        return json.dumps(inside, ensure_ascii=False)
+    if name in ("number", "boolean", "null"):
+        return "null" if name == "null" else inside.strip()
+    raise ValueError(f"[FOJS0006] no JSON form of {name}")
+
+
+@fn("json-to-xml")
+def json_to_xml(v: V, options: V | None = None) -> V:
+    return V(mapped(lambda s: _json_as_xml(json.loads(s, parse_int=_Number, parse_float=_Number), top=True))(text(v)), "element")
+
+
+@fn("xml-to-json")
+def xml_to_json(v: V, options: V | None = None) -> V:
+    return string(mapped(lambda s: _xml_as_json(ElementTree.fromstring(s)))(v.col if v.type == "element" else text(v)))
+
+
+def _well_formed(s: str, fragment: bool) -> str:
+    inside = re.sub(r"^\s*<\?xml[^>]*\?>\s*", "", s)
+    ElementTree.fromstring(f"<x>{inside}</x>" if fragment else inside)
+    return inside if fragment else inside.strip()
+
+
+fn("parse-xml")(lambda v: V(mapped(lambda s: _well_formed(s, False))(text(v)), "element"))
+fn("parse-xml-fragment")(lambda v: V(mapped(lambda s: _well_formed(s, True))(text(v)), "element"))
+
+
 @fn("analyze-string")
 def analyze_string(v: V, p: V, flags: V | None = None) -> V:
     """The matches of a pattern and what stands between them, as records of kind (match, non-match) and value."""

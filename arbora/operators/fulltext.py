@@ -7,6 +7,7 @@ filters combine these. Everything stays in Spark's own functions but stemming, w
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Callable
 from functools import reduce
 
@@ -31,6 +32,14 @@ def tokens(text: Column, stop: bool | list[str] = True, case: bool = False) -> C
     return F.filter(out, lambda t: ~F.lower(t).isin(*drop)) if drop else out
 
 
+#: Latin letters with marks, and the letters below the marks.
+_MARKED = {chr(i): unicodedata.normalize("NFD", chr(i))[0] for i in range(0xC0, 0x250) if unicodedata.normalize("NFD", chr(i))[0].isascii()}
+
+
+def without_marks(c: Column) -> Column:
+    return F.regexp_replace(F.translate(c, "".join(_MARKED), "".join(_MARKED.values())), "[\u0300-\u036f]", "")
+
+
 def stem(word: str) -> str:
     """The first steps of Porter's algorithm: plurals, -ed, -ing, -y."""
     has_vowel = lambda s: re.search("[aeiou]|[^aeiou]y", s) is not None
@@ -77,6 +86,7 @@ def contains(text: Column, selection, compile: Callable[[object], V]) -> Column:
     source = F.coalesce(text, F.lit(""))
 
     def analyzed(c: Column, options: dict) -> Column:
+        c = without_marks(c) if options.get("diacritics") == "insensitive" else c
         out = tokens(c, options.get("stop", False) if options.get("stop") else False, options.get("case") == "sensitive")
         return stemmed(out) if options.get("stemming") and str(options.get("language", "")).startswith("en") else out
 

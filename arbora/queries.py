@@ -128,6 +128,7 @@ TEXTS: dict[str, tuple[str, str]] = {
     "functions_user": ("""declare function local:net($p, $d) { $p * (1 - $d) }; for $l in collection("lineitem") return map { "o": $l?l_orderkey, "n": $l?l_linenumber, "x": round(local:net($l?l_extendedprice, $l?l_discount), 2) }""", "select l_orderkey o, l_linenumber n, floor(l_extendedprice * (1 - l_discount) * 100 + 0.5) / 100 x from lineitem"),
     "partial_application": ("""let $f := concat(?, "-", ?) for $r in collection("region") return $f($r?r_name, string($r?r_regionkey))""", "select r_name || '-' || r_regionkey item from region"),
     "fulltext_words": ("""for $d in collection("documents") where $d?text contains text "license" ftand ftnot "apache" return $d?doc_id""", "select doc_id item from documents where list_contains(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+'), 'license') and not list_contains(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+'), 'apache')"),
+    "fulltext_diacritics": ("""for $d in collection("documents") where $d?text contains text "uber" using diacritics insensitive return $d?doc_id""", "select doc_id item from documents where list_contains(regexp_extract_all(strip_accents(lower(text)), '[\\p{L}\\p{N}]+'), 'uber')"),
     "fulltext_phrase": ("""for $d in collection("documents") where $d?text contains text "all rights reserved" phrase return $d?doc_id""", "select doc_id item from documents where contains(' ' || array_to_string(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+'), ' ') || ' ', ' all rights reserved ')"),
 }
 
