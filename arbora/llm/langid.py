@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField, StructType
 
+from arbora.llm.common import give_back
+
 #: Bins, clusters per language, labelled rows per language that the centroids are fitted to (a bound in expectation:
 #: rows are taken by a hash of their id), letters read at once.
 BINS, CLUSTERS, SAMPLE, SLICE = 4096, 4, 800, 1 << 20
@@ -57,9 +59,12 @@ def counts(text: str) -> tuple[np.ndarray, int]:
 
 
 def vectors(n: np.ndarray, idf: np.ndarray) -> np.ndarray:
-    v = np.log1p(n) * idf
-    size = np.sqrt((v * v).sum(axis=1, keepdims=True))
-    return v / np.where(size == 0, 1, size)
+    """Normalised TF-IDF vectors, in the place of the counts (rows of floats), so that nothing of their size is held beside them."""
+    np.log1p(n, out=n)
+    n *= idf
+    size = np.sqrt(np.einsum("ij,ij->i", n, n))[:, None]
+    n /= np.where(size == 0, 1, size)
+    return n
 
 
 def document_frequencies(docs: DataFrame) -> tuple[dict[str, int], np.ndarray]:
@@ -127,8 +132,11 @@ def fit(docs: DataFrame, id_column: str, text_column: str, lang_column: str, tra
         dense = np.zeros((len(own), BINS))
         for j, i in enumerate(own):
             dense[j, sample.column("_at")[i].values.to_numpy()] = sample.column("_n")[i].values.to_numpy()
-        v = vectors(dense, idf)
-        v, size = v[v.any(axis=1)], np.array([sample.column("_letters")[i].as_py() for i in own])[v.any(axis=1)]
+        v, size = vectors(dense, idf), np.array([sample.column("_letters")[i].as_py() for i in own])
+        some = v.any(axis=1)
+        if not some.all():
+            v, size = v[some], size[some]
+        del dense
         if not len(v):
             floor.append(0.0)
             continue
@@ -136,6 +144,9 @@ def fit(docs: DataFrame, id_column: str, text_column: str, lang_column: str, tra
         cs.append(c)
         owner += [k] * len(c)
         floor.append(MARGIN * float(np.quantile(as_long((v @ c.T).max(axis=1), size), FEW)))
+        del v
+    del sample
+    give_back(docs.sparkSession)
     return {"langs": langs, "idf": idf, "centroids": np.concatenate(cs) if cs else np.zeros((0, BINS)), "owner": np.array(owner, np.int64), "floor": np.array(floor)}
 
 

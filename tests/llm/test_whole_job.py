@@ -104,3 +104,29 @@ def test_scores_tell_running_text_from_shuffled(spark):
     fluent, mixed = (sum(got[k + i]["score"] for i in range(20)) for k in (1000, 2000))
     assert fluent > 0.6 * mixed and fluent > 0.6 * sum(got[1000 + i]["base_score"] for i in range(20))
     print("fluent, shuffled, unigram:", fluent, mixed, sum(got[1000 + i]["base_score"] for i in range(20)))
+
+
+def test_fitting_holds_a_language_once():
+    """The sample's vectors take the place of their counts: what is held beside them is small."""
+    import tracemalloc
+
+    from arbora.llm import langid
+
+    n = np.random.default_rng(3).integers(0, 4, (800, langid.BINS)).astype(np.float64)
+    idf = np.linspace(0.1, 5, langid.BINS)
+    want = np.log1p(n[:5]) * idf
+    want /= np.linalg.norm(want, axis=1, keepdims=True)
+    tracemalloc.start()
+    got = langid.vectors(n, idf)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert np.allclose(got[:5], want) and peak < 0.2 * got.nbytes
+
+
+def test_the_driver_gives_memory_back(spark, monkeypatch):
+    from arbora.llm import common
+
+    assert common.give_back(spark) and not common.give_back()
+    given = []
+    monkeypatch.setattr(common, "give_back", lambda s: given.append(s))
+    assert common.durable(spark.range(3)).count() == 3 and given == [spark]
