@@ -255,3 +255,47 @@ def test_a_text_of_its_own_kind_is_learned_as_it_goes(spark):
     pieces = sum(got[2000 + i] for i in range(0, len(own), 20))
     print("whole, in pieces:", got[1000], pieces)
     assert got[1000] > 0.95 * pieces
+
+
+def test_no_context_ends_at_a_gap():
+    """With heads of eight bytes every byte of a text is coded once, behind the last five bytes of the running text."""
+    r = random.Random(17)
+    texts = [[*("".join(r.choice("abcé\0") for _ in range(r.randint(1, 9))).encode() for _ in range(n)), b"\n"] for n in (0, 1, 2, 30, 60)]
+    block = lmscore.Block(lmscore.zstandard.compress(b" ".join(b" ".join(t) for t in texts)), bytes([1] * len(texts)), 3, 48, np.uint64)
+    heads, rests, at = lmscore.head_texts(block.heads), lmscore.rest_texts(block.words), 0
+    (head, rest) = lmscore.ORIGINS[block.heads.dtype]
+    for words in texts:
+        running = b"\0\0 \n " + b"".join(w + b" " for w in words)
+        where = 5
+        for w in words:
+            whole = b""
+            for text, origin in ((heads[block.head[at]], head), (rests[block.at[at]], rest)):
+                symbol, _, context, last = lmscore.contexts([text], origin)
+                for k in range(len(symbol)):
+                    i = where + len(whole)
+                    five = np.frombuffer(running[i - 5 : i], np.uint8)
+                    other = lmscore.contexts([bytes(five) + b"x"], (0, 5))[2]
+                    assert symbol[k] == running[i] and last[k] == five[-1]
+                    assert [c[k] for c in context[:4]] == [c[0] for c in other[:4]], (w, k)
+                    whole += bytes([symbol[k]])
+            assert whole == w + b" "
+            where, at = where + len(whole), at + 1
+
+
+def test_what_stands_before_a_gap_tells_what_comes(spark, monkeypatch):
+    """The last five bytes count at a word's start: new words by the third and fourth byte before the gap."""
+    r = random.Random(19)
+    ends = {"".join(x): y for x, y in zip([(a, b) for a in "abcdef" for b in "abcdef"], r.sample([a + b + c for a in "klmnop" for b in "klmnop" for c in "qr"], 36))}
+    fresh = lambda: "".join(r.choice("stuvwxyz") for _ in range(6))
+    texts = []
+    for _ in range(80):
+        own = [r.choice(list(ends)) for _ in range(40)]
+        texts.append(" ".join(x for a in own for x in (fresh() + a + "gh", ends[a] + fresh())))
+    df = spark.createDataFrame([(i, t, i % 5 != 1) for i, t in enumerate(texts)], "doc_id long, text string, train boolean")
+    total = lambda **k: {x["doc_id"]: x["score"] for x in lmscore.score(df, F.col("train"), **k).collect()}
+    short, whole = total(), total(reach=4)
+    assert sum(whole[i] for i in whole if i % 5 == 1) > 0.97 * sum(short[i] for i in short if i % 5 == 1)
+    for name, value in (("BLOCK", 3000), ("OWNED", 2000)):
+        monkeypatch.setattr(lmscore, name, value)
+    many = total(reach=4)
+    assert abs(sum(many.values()) / sum(whole.values()) - 1) < 0.02
