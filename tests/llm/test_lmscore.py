@@ -299,3 +299,53 @@ def test_what_stands_before_a_gap_tells_what_comes(spark, monkeypatch):
         monkeypatch.setattr(lmscore, name, value)
     many = total(reach=4)
     assert abs(sum(many.values()) / sum(whole.values()) - 1) < 0.02
+
+
+@pytest.mark.parametrize("kind", [np.uint32, np.uint64])
+def test_the_jvm_codes_as_the_columns_do(spark, kind):
+    """Texts of any length, seen once or more, get from Coder.java what Mixer.online and the mixing of words, pairs and segments give."""
+    r = random.Random(23)
+    vocabulary = ["".join(r.choice("abcdeé") for _ in range(r.randint(1, 9))) for _ in range(150)]
+    texts = [" ".join(r.choices(vocabulary, k=n)) for n in (0, 1, 31, 32, 33, 63, 64, 65, 300, 5, 5)] + ["é" * 700]
+    flags = [i % 3 != 1 for i in range(len(texts))]
+    block = lmscore.Block(lmscore.zstandard.compress(b" ".join(b" ".join([*t.encode().split(), b"\n"]) for t in texts)), bytes(flags), 3, 64, kind)
+    head, rest = lmscore.ORIGINS[np.dtype(kind)]
+    heads, rests = lmscore.head_texts(block.heads), lmscore.rest_texts(block.words)
+    tree = lmscore.Tree(np.bincount(np.frombuffer(b" ".join(block.words), np.uint8), minlength=256))
+    widths = (16, 18, 20, 18, 18)
+    tables = [np.zeros(2 << w, np.float32) for w in widths]
+    lmscore.add_counts(tables, heads, head, block.head_times, tree, widths)
+    lmscore.add_counts(tables, rests, rest, block.word_times, tree, widths)
+    states = [lmscore.rounded(t).reshape(-1, 2) for t in tables]
+    m = lmscore.Mixer(tree, [s[:, 0].astype(np.int16) | s[:, 1].astype(np.int16) << 6 for s in states], widths)
+    m.learn(rests, rest)
+    m.refine()
+    sums = {"n": int(block.word_times.sum()), "v": len(vocabulary), "once": 9, "segs": 40, "segs_once": 20, "pairs_once": 200}
+    model = lmscore.Model(sums, np.array([1000 * x / (1000 + x) for x in lmscore.WEIGHTS]), m)
+    bits = m.online([(heads, head, block.head_times == 1), (rests, rest, block.word_times == 1)], [block.head, block.at], np.diff(block.last, prepend=-1))
+    want, inside, segment = np.zeros(len(texts)), 1.0, 0
+    for i, x in enumerate(bits):
+        own, before = int(block.learned[i]), block.word_times[block.at[i - 1] if i and block.text[i - 1] == block.text[i] else block.at[block.last[0]]]
+        p = (1 - model.spell) * (block.word_times[block.at[i]] - own) / (sums["n"] - own) + model.spell * 10**x
+        inside *= (block.key_times[block.pair[i]] - own + model.weight * p) / (before - own + model.weight)
+        if i + 1 == block.cut[segment]:
+            want[block.text[i]] += math.log10(model.anew * inside + (1 - model.anew) * (block.key_times[block.seg[segment]] - own) / (sums["segs"] - own))
+            inside, segment = 1.0, segment + 1
+    parts = model.parts(block, *(x.astype(np.int64) for x in (block.word_times, block.head_times, block.key_times)))
+    data = b" " + b" ".join(b" ".join([*t.encode().split(), b"\n"]) for t in texts) + b" "
+    df = spark.createDataFrame([tuple(map(bytearray, (data, *parts)))] * 2, "text binary, marks binary, numbers binary, whole binary")
+    coder = common.java_function(spark, "Coder.java", model.packed(np.dtype(kind).itemsize // 2), "array<double>")
+    for row in df.select(coder(*df.columns).alias("score")).collect():
+        assert np.allclose(row["score"], want, rtol=1e-3, atol=1e-3)
+
+
+def test_keys_that_differ_in_low_bits_are_not_mended_one_by_one(monkeypatch):
+    """Heads of eight bytes share their high bits: one more sort, not one for each of them."""
+    r = np.random.default_rng(29)
+    keys = (r.integers(0, 20000, 60000).astype(np.uint64) << np.uint64(49)) | r.integers(0, 3000, 60000).astype(np.uint64)
+    calls, real = [], np.searchsorted
+    monkeypatch.setattr(np, "searchsorted", lambda *a, **k: calls.append(1) or real(*a, **k))
+    a, b, c = lmscore.distinct(keys)
+    monkeypatch.undo()
+    every, first, place = np.unique(keys, return_index=True, return_inverse=True)
+    assert (a == every).all() and (b == place).all() and (c == first).all() and len(calls) < 100
